@@ -32,6 +32,14 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
 
 
+def stack(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union by name of one or more tables."""
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def _match(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -49,6 +57,7 @@ def salted_join(
     how: str = "left",
     null_safe: bool = False,
     rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``on``; ``small`` has one row per key.
 
@@ -58,24 +67,27 @@ def salted_join(
     ``small`` is repeated once per salt. The hash makes a retried task place its
     rows as before.
 
+    ``small`` is checkpointed, unless ``stored`` says that it comes straight from
+    a checkpoint or a table, and asked once for its largest weight. Without a hot
+    key the join is a plain one and Catalyst picks the strategy; so it is, without
+    asking, when the caller knows that ``big`` has at most hotKeyRows ``rows``.
     The broadcast list of hot keys has at most (rows of big / hotKeyRows) rows,
-    because each of them accounts for more than hotKeyRows rows. A caller that
-    knows the row count of ``big`` passes it as ``rows``; when no key can be hot,
-    the join is a plain one.
+    because each of them accounts for more than hotKeyRows rows.
     """
     limit = hot_rows(big.sparkSession)
     spread = [spread] if isinstance(spread, str) else list(spread)
     keys = list(on)
     added = [c for c in small.columns if c not in keys and c != weight]
-    if rows is not None and rows <= limit:
+    plain = rows is not None and rows <= limit
+    if not plain:
+        small = small if stored else checkpoint(small)
+        plain = (small.agg(F.max(weight)).first()[0] or 0) <= limit
+    if plain:
         return big.alias("l").join(
             small.alias("r"), _match("l", "r", keys, null_safe), how
         ).select("l.*", *[F.col(f"r.{c}") for c in added])
     salts = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(weight), F.lit(0)) / F.lit(limit))).cast("int")
-    hot = (
-        small.filter(F.col(weight) > limit)
-        .select(*keys, salts.alias("_salts"))
-    )
+    hot = small.filter(F.col(weight) > limit).select(*keys, salts.alias("_salts"))
     left = (
         big.alias("b")
         .join(F.broadcast(hot).alias("h"), _match("b", "h", keys, null_safe), "left")
@@ -118,7 +130,7 @@ def small_join(
     """
     limit = broadcast_rows(big.sparkSession)
     if small.limit(limit + 1).count() > limit:
-        return salted_join(big, small, on, spread, weight, null_safe=null_safe)
+        return salted_join(big, small, on, spread, weight, null_safe=null_safe, stored=True)
     added = [c for c in small.columns if c not in on and c != weight]
     joined = big.alias("l").join(
         F.broadcast(small).alias("r"), _match("l", "r", on, null_safe), "left"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from txnrisk import schema as S
 from txnrisk.functions.days import before_day, day_number
 from txnrisk.functions.scale import salted_join
+from txnrisk.session import checkpoint
 
 
 def _ends(txn: DataFrame) -> DataFrame:
@@ -108,6 +109,7 @@ def attach_by_node_day(txn: DataFrame, table: DataFrame, columns: list[str]) ->
     on which a node is active, so no as-of join is needed. ``n_out_today`` and
     ``n_in_today`` tell the join which keys to split.
     """
+    table = checkpoint(table.select("node_id", "feature_date", "n_out_today", "n_in_today", *columns))
     sides = {"s": ("src", "n_out_today"), "r": ("dst", "n_in_today")}
     for prefix, (end, weight) in sides.items():
         side = table.select(
@@ -115,7 +117,7 @@ def attach_by_node_day(txn: DataFrame, table: DataFrame, columns: list[str]) ->
             F.col(weight).alias("_rows"),
             *[F.col(c).alias(f"{prefix}_{c}") for c in columns],
         )
-        txn = salted_join(txn, side, [end, "txn_date"], "txn_id", "_rows")
+        txn = salted_join(txn, side, [end, "txn_date"], "txn_id", "_rows", stored=True)
     return txn
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions.days import before_day, day_number
 from txnrisk.functions.scale import global_index, salted_join
+from txnrisk.session import checkpoint
 
 
 def _endpoints(txn: DataFrame) -> DataFrame:
@@ -31,18 +32,18 @@ def build_node_map(txn: DataFrame) -> DataFrame:
     ``encode_nodes`` needs to split busy accounts.
     """
     indexed = global_index(_endpoints(txn), ["bank", "account"], "node_id")
-    return indexed.select("node_id", "bank", "account", "n_out", "n_in")
+    return checkpoint(indexed.select("node_id", "bank", "account", "n_out", "n_in"))
 
 
 def encode_nodes(txn: DataFrame, node_map: DataFrame) -> DataFrame:
-    """Add ``src`` and ``dst``."""
+    """Add ``src`` and ``dst``. ``node_map`` comes from a checkpoint or a table."""
     for role, end, weight in (("from", "src", "n_out"), ("to", "dst", "n_in")):
         keys = [f"{role}_bank", f"{role}_account"]
         side = node_map.select(
             F.col("bank").alias(keys[0]), F.col("account").alias(keys[1]),
             F.col("node_id").alias(end), F.col(weight).alias("_rows"),
         )
-        txn = salted_join(txn, side, keys, "txn_id", "_rows")
+        txn = salted_join(txn, side, keys, "txn_id", "_rows", stored=True)
     return txn
 
 

@@ -1,18 +1,19 @@
-"""PageRank of all daily snapshots in one pass over the edges per iteration.
-
-An edge is stored once, with its first date. The rank of a node is a row of
-columns, one per feature date, and an edge passes on the columns of the dates
-that are after its first date. The work per iteration is therefore one join and
-one aggregation over the distinct edges, not over edges x dates.
+"""PageRank of all daily snapshots at once.
 
 Teleport and dangling mass are kept out of the loop. With the damped link matrix
-``L`` and the uniform start ``u``, the ranks are
+``L`` of a snapshot and the uniform start ``u``, the ranks are
 
     r[0] = u,   r[k+1] = L r[k] + (1 - sum(L r[k])) u
 
-so r[K] is a weighted sum of the powers ``p[j] = L^j u`` whose weights depend only
-on their sums per date. The loop computes the powers; the weights are a few
-numbers per date, worked out once the sums are known.
+so r[K] is a weighted sum of the powers ``p[j] = L^j u``, and the weights depend
+only on the sums of the powers. The loop is one join and one aggregation per
+power; it carries only nodes that received something, and no per-date total has
+to be joined back to the nodes in every iteration. The weights are a few numbers
+per date, worked out once the sums are known.
+
+An edge is stored once, with its first date, and meets the rank rows of the
+dates after it in the join; edges x dates exist only as a stream into the partial
+sums of the same stage.
 """
 
 from __future__ import annotations
@@ -20,17 +21,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions.days import day_number
-from txnrisk.functions.scale import hot_rows
+from txnrisk.functions.scale import hot_rows, stack
 from txnrisk.session import checkpoint
 
-DATES_PER_PASS = 32
-ITERATIONS_PER_CHECKPOINT = 5
-
-
 def pagerank(
     edges: DataFrame,
     node_days: DataFrame,
@@ -45,132 +42,132 @@ def pagerank(
     with N nodes in the snapshot; a node that is not in the snapshot has 0.
     ``edges`` is read several times and should be a checkpoint or a table.
     """
-    first = edges.agg(F.min(day_number("first_date"))).first()[0]
     last = (last_date - dt.date(1970, 1, 1)).days
-    asked = node_days.select("node_id", "feature_date", day_number("feature_date").alias("day"))
-    result = asked.where(F.col("day") <= first).select(
-        "node_id", "feature_date", F.lit(0.0).alias("pagerank"), F.lit(0.0).alias("pagerank_log")
-    ) if first is not None else asked.select(
-        "node_id", "feature_date", F.lit(0.0).alias("pagerank"), F.lit(0.0).alias("pagerank_log")
+    links = edges.select("src", "dst", day_number("first_date").alias("t")).where(F.col("t") < last)
+    seen = checkpoint(
+        links.select("t", F.explode(F.array("src", "dst")).alias("node_id"))
+        .groupBy("node_id").agg(F.min("t").alias("seen"))
     )
-    if first is None:
-        return result
-    for start in range(first + 1, last + 1, DATES_PER_PASS):
-        days = list(range(start, min(start + DATES_PER_PASS, last + 1)))
-        ranks, n_nodes = _ranks(edges, days, damping, iterations)
-        at = (F.col("day") - days[0] + 1).cast("int")
-        values = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(len(days))])
-        counts = F.array(*[F.lit(float(n)) for n in n_nodes])
-        part = (
-            asked.where(F.col("day").between(days[0], days[-1]))
-            .join(ranks, "node_id", "left")
-            .withColumn("pagerank", F.element_at(values, at))
-            .select(
-                "node_id", "feature_date", "pagerank",
-                F.log1p(F.col("pagerank") * F.element_at(counts, at)).alias("pagerank_log"),
-            )
+    # one row per date to the driver
+    arrivals = dict(seen.groupBy("seen").count().collect())
+    first = min(arrivals, default=last)
+    n_nodes: dict[int, int] = {}
+    for day in range(first + 1, last + 1):
+        n_nodes[day] = n_nodes.get(day - 1, 0) + arrivals.get(day - 1, 0)
+
+    asked = node_days.select("node_id", "feature_date", day_number("feature_date").alias("day"))
+    if not n_nodes:
+        zero = F.lit(0.0)
+        return asked.select(
+            "node_id", "feature_date", zero.alias("pagerank"), zero.alias("pagerank_log")
         )
-        result = result.unionByName(part)
-    return result
+    powers = _powers(links, n_nodes, last, damping, iterations)
+    # one row per power and date to the driver
+    sums: dict[tuple[int, int], float] = {}
+    if powers:
+        totals = stack([p.withColumn("power", F.lit(j)) for j, p in enumerate(powers, 1)])
+        for j, day, total in totals.groupBy("power", "day").agg(F.sum("v")).collect():
+            sums[j, day] = total
+    weights = [
+        _weights([1.0, *[sums.get((j, day), 0.0) for j in range(1, iterations + 1)]])
+        for day in n_nodes
+    ]
 
+    def by_day(values: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("day") - min(n_nodes) + 1)
 
-def _ranks(
-    edges: DataFrame, days: list[int], damping: float, iterations: int
-) -> tuple[DataFrame, list[int]]:
-    """Ranks of one pass: a row per node with columns c0, c1, ... for ``days``."""
-    k = len(days)
-    links = edges.select("src", "dst", day_number("first_date").alias("t")).where(
-        F.col("t") < days[-1]
+    # the start vector is the same for all nodes of a snapshot
+    start = asked.join(seen, "node_id").where("seen < day").select(
+        "node_id", "day", by_day([w[0] / n for w, n in zip(weights, n_nodes.values())]).alias("v")
     )
-    nodes = checkpoint(links.select("t", F.explode(F.array(
-        F.struct(F.col("src").alias("node_id"), F.lit(1).alias("o")),
-        F.struct(F.col("dst").alias("node_id"), F.lit(0).alias("o")),
-    )).alias("e")).select("e.node_id", "e.o", "t").groupBy("node_id").agg(
-        F.min("t").alias("seen"),
-        F.sum("o").alias("n_out"),
-        *[F.sum(F.when(F.col("t") < d, F.col("o")).otherwise(0)).alias(f"o{i}")
-          for i, d in enumerate(days)],
-    ))
-    sizes = nodes.agg(
-        *[F.count_if(F.col("seen") < d).alias(f"n{i}") for i, d in enumerate(days)],
-        F.max("n_out").alias("n_out"),
-    ).first()
-    n_nodes = [sizes[f"n{i}"] for i in range(k)]
+    ranks = stack([start, *[
+        p.select("node_id", "day", (by_day([w[j] for w in weights]) * F.col("v")).alias("v"))
+        for j, p in enumerate(powers, 1)
+    ]]).groupBy("node_id", "day").agg(F.sum("v").alias("v"))
+    n = by_day([float(n) for n in n_nodes.values()])
+    return asked.join(ranks, ["node_id", "day"], "left").select(
+        "node_id", "feature_date",
+        F.coalesce("v", F.lit(0.0)).alias("pagerank"),
+        F.when(F.col("v").isNotNull(), F.log1p(F.col("v") * n)).otherwise(0.0).alias("pagerank_log"),
+    )
+
+
+def _out_degrees(links: DataFrame, last: int) -> DataFrame:
+    """``(node_id, day, degree)`` for each day on which the node has an out-edge.
+
+    The degree is constant from the day after one new edge to the day of the next.
+    """
+    per_day = links.groupBy(F.col("src").alias("node_id"), "t").agg(F.count(F.lit(1)).alias("new"))
+    w = Window.partitionBy("node_id").orderBy("t")
+    until = F.coalesce(F.lead("t").over(w), F.lit(last))
+    spans = per_day.select("node_id", "t", F.sum("new").over(w).alias("degree"), until.alias("until"))
+    return spans.select("node_id", "degree", F.explode(F.sequence(F.col("t") + 1, "until")).alias("day"))
+
+
+def _powers(
+    links: DataFrame, n_nodes: dict[int, int], last: int, damping: float, iterations: int
+) -> list[DataFrame]:
+    """Powers 1 .. iterations as stored ``(node_id, day, v)`` tables.
+
+    All of them enter the result, so storing each one is not extra work.
+    """
+    limit = hot_rows(links.sparkSession)
+    # Degrees and links are placed once for their join keys. They are materialized
+    # before the loop, so that its plans see the placement and move only ranks.
+    degrees = _out_degrees(links, last).repartition("node_id", "day").persist(StorageLevel.MEMORY_AND_DISK)
+    busiest = degrees.agg(F.max("degree")).first()[0]
 
     # A sender above the limit is split: its edges are spread over salts and its
-    # rank row is repeated once per salt. Split senders number at most
-    # edges / hotKeyRows, which bounds the broadcast.
-    limit = hot_rows(edges.sparkSession)
-    split = sizes["n_out"] > limit
-    out = nodes.where("n_out > 0").withColumn(
-        "salts", F.ceil(F.col("n_out") / F.lit(limit)).cast("int")
-    )
-    join_keys = ["src", "salt"] if split else ["src"]
+    # rank rows are repeated once per salt. There are at most edges / hotKeyRows
+    # such senders, which bounds the broadcast.
+    split = busiest > limit
+    keys = ["src"]
     if split:
-        hot = out.where("salts > 1").select(F.col("node_id").alias("src"), "salts")
+        keys = ["src", "salt"]
+        hot = degrees.groupBy("node_id").agg(F.max("degree").alias("d")).where(F.col("d") > limit)
+        hot = checkpoint(hot.select(
+            F.col("node_id").alias("src"), F.ceil(F.col("d") / limit).cast("int").alias("salts")
+        ))
         links = links.join(F.broadcast(hot), "src", "left").withColumn(
             "salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
         ).drop("salts")
-    # same partitioning as the rank rows, so the join moves no edge
-    links = links.repartition(*join_keys).persist(StorageLevel.MEMORY_AND_DISK)
-    degrees = out.select("node_id", "salts", *[f"o{i}" for i in range(k)]).repartition(
-        "node_id"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def step(power: DataFrame) -> DataFrame:
-        shares = power.join(degrees, "node_id").select(
-            F.col("node_id").alias("src"), "salts",
-            *[(F.col(f"c{i}") * damping / F.greatest(F.col(f"o{i}"), F.lit(1))).alias(f"q{i}")
-              for i in range(k)],
+    links = links.repartition(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    links.count()
+
+    def shares(power: DataFrame) -> DataFrame:
+        share = power.join(degrees, ["node_id", "day"]).select(
+            F.col("node_id").alias("src"), "day", (F.col("v") * damping / F.col("degree")).alias("share")
         )
-        if split:
-            shares = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        return with_salts(share)
+
+    def with_salts(share: DataFrame) -> DataFrame:
+        if not split:
+            return share
+        return share.join(F.broadcast(hot), "src", "left").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        ).drop("salts")
+
+    def passed_on(share: DataFrame) -> DataFrame:
         return (
-            links.join(shares.drop("salts"), join_keys)
-            .groupBy(F.col("dst").alias("node_id"))
-            .agg(*[F.sum(F.when(F.col("t") < d, F.col(f"q{i}")).otherwise(0.0)).alias(f"c{i}")
-                   for i, d in enumerate(days)])
+            share.join(links, keys).where("t < day")
+            .groupBy(F.col("dst").alias("node_id"), "day").agg(F.sum("share").alias("v"))
         )
 
-    start = nodes.select("node_id", *[
-        F.when(F.col("seen") < d, F.lit(1.0 / n if n else 0.0)).otherwise(0.0).alias(f"c{i}")
-        for i, (d, n) in enumerate(zip(days, n_nodes))
-    ])
-    pieces = [start.withColumn("power", F.lit(0))]
-    power = start
-    for done in range(0, iterations, ITERATIONS_PER_CHECKPOINT):
-        chain = []
-        for j in range(done, min(done + ITERATIONS_PER_CHECKPOINT, iterations)):
-            power = step(power)
-            chain.append(power.withColumn("power", F.lit(j + 1)))
-        block = chain[0]
-        for piece in chain[1:]:
-            block = block.unionByName(piece)
-        block = checkpoint(block)
-        pieces.append(block)
-        power = block.where(F.col("power") == j + 1).drop("power")
-    powers = pieces[0]
-    for piece in pieces[1:]:
-        powers = powers.unionByName(piece)
-
-    # one row per power to the driver: (iterations + 1) x dates numbers
-    sums = {
-        row["power"]: [row[f"c{i}"] or 0.0 for i in range(k)]
-        for row in powers.groupBy("power").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
-        .collect()
-    }
-    weights = [
-        _weights([sums.get(j, [0.0] * k)[i] for j in range(iterations + 1)]) for i in range(k)
-    ]
-    at = F.col("power") + 1
-    ranks = powers.groupBy("node_id").agg(*[
-        F.sum(F.col(f"c{i}") * F.element_at(F.array(*[F.lit(w) for w in weights[i]]), at)).alias(f"c{i}")
-        for i in range(k)
-    ])
-    ranks = checkpoint(ranks)
+    starts = F.element_at(
+        F.array(*[F.lit(1.0 / n) for n in n_nodes.values()]), F.col("day") - (min(n_nodes) - 1)
+    )
+    share = with_salts(degrees.select(
+        F.col("node_id").alias("src"), "day", (starts * damping / F.col("degree")).alias("share")
+    ))
+    stored = []
+    for _ in range(iterations):
+        power = checkpoint(passed_on(share))
+        stored.append(power)
+        share = shares(power)
+    # the powers are stored by now
     links.unpersist()
     degrees.unpersist()
-    return ranks, n_nodes
+    return stored
 
 
 def _weights(sums: list[float]) -> list[float]:

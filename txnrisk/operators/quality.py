@@ -104,7 +104,7 @@ def flag_duplicates(txn: DataFrame, columns: Sequence[str] = tuple(S.SOURCE_COLU
     groups = checkpoint(duplicate_audit(txn, columns)).select(
         *columns, "first_txn_id", F.col("n_copies").alias("_copies")
     )
-    joined = salted_join(txn, groups, columns, "txn_id", "_copies", null_safe=True)
+    joined = salted_join(txn, groups, columns, "txn_id", "_copies", null_safe=True, stored=True)
     surplus = F.col("first_txn_id").isNotNull() & (F.col("txn_id") != F.col("first_txn_id"))
     return joined.withColumn("is_exact_dup", surplus).drop("first_txn_id")
 
