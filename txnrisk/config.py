@@ -23,6 +23,7 @@ class Config:
     tree_bins: int = 64
     subsampling: float = 0.8
     seeds: tuple[int, ...] = (42, 43, 44)
+    parallel_fits: int = 4
     # evaluation
     bootstrap_replicates: int = 200
     bootstrap_seed: int = 42

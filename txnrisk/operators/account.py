@@ -75,14 +75,16 @@ def account_history(txn: DataFrame, first_date: dt.date) -> DataFrame:
     days = account_day(txn).withColumn("day", day_number("feature_date"))
     w = before_day("node_id")
     elapsed = F.nullif(F.col("day") - day_number(F.lit(first_date)), F.lit(0))
-    prior_out, prior_in = F.sum("n_out").over(w), F.sum("n_in").over(w)
+    none = F.lit(0).cast("long")
+    prior_out = F.coalesce(F.sum("n_out").over(w), none)
+    prior_in = F.coalesce(F.sum("n_in").over(w), none)
     return days.select(
         "node_id", "feature_date",
         F.col("n_out").alias("n_out_today"), F.col("n_in").alias("n_in_today"),
         (prior_out / elapsed).alias("n_out_rate"),
         (prior_in / elapsed).alias("n_in_rate"),
-        (F.sum("sum_z_out").over(w) / F.nullif(prior_out, F.lit(0))).alias("mean_z_out"),
-        (F.sum("sum_z_in").over(w) / F.nullif(prior_in, F.lit(0))).alias("mean_z_in"),
+        (F.sum("sum_z_out").over(w) / F.nullif(prior_out, none)).alias("mean_z_out"),
+        (F.sum("sum_z_in").over(w) / F.nullif(prior_in, none)).alias("mean_z_in"),
         F.max("max_z_out").over(w).alias("max_z_out"),
         (F.count("day").over(w) / elapsed).alias("days_active_frac"),
         (F.col("day") - F.max("day").over(w)).cast("long").alias("days_since_last"),
