@@ -171,25 +171,31 @@ def running_sums(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = True,
-    buckets: int = 128,
+    levels: int = 7,
 ) -> DataFrame:
     """Add ``cum_<c>``: sum of ``c`` over this and all preceding keys of the group.
 
     ``df`` has one row per (by, key). Keys are cut into ranges at approximate
-    quantiles, so no window partition holds more than about 1/buckets of all
+    quantiles, so no window partition holds more than about 1 / 2^levels of all
     rows, even if a single group or none is given. Wherever the cuts fall, the
     sums are exact: each range adds the totals of the ranges before it.
     """
     by = list(by)
+    ranges = 1 << levels
     cuts = df.agg(
-        F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts")
+        F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")
     ).scalar()
-    sign = -1 if descending else 1
-    ranged = df.withColumn("_cuts", cuts).withColumn(
-        "_range", F.expr(f"{sign} * size(filter(_cuts, c -> c < `{key}`))")
-    ).drop("_cuts")
+    # number of cuts below the key, by bisection
+    ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))
+    for level in reversed(range(levels)):
+        step = 1 << level
+        below = F.element_at("_cuts", F.col("_range") + step) < F.col(key)
+        ranged = ranged.withColumn("_range", F.col("_range") + F.when(below, step).otherwise(0))
+    if descending:
+        ranged = ranged.withColumn("_range", -F.col("_range"))
+    ranged = ranged.drop("_cuts")
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    # at most `buckets` rows per group
+    # at most 2^levels rows per group
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
         *by, "_range",

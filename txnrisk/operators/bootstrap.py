@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.metrics import pr_auc, unpivot_scores
+from txnrisk.functions.scale import running_sums
+from txnrisk.operators.metrics import average_precision, score_counts, unpivot_scores
+from txnrisk.session import checkpoint
 
 # Cumulative Poisson(1) probabilities; the weight of a draw is the
 # number of bounds that do not exceed it.
@@ -15,10 +17,14 @@ POISSON_BOUNDS = [
 ]
 
 
-def poisson_weight(seed: int, replicate: Column, row_id: Column) -> Column:
-    """Resampling weight of a row; the same for every model, engine and retry."""
+def uniform_draw(seed: int, replicate: Column, row_id: Column) -> Column:
+    """Draw in [0, 1) of a row; the same for every model, engine and retry."""
     text = F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), row_id.cast("string"))
-    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def poisson_weight(draw: Column) -> Column:
+    """Number of times a row with this draw is in the resample."""
     weight = F.lit(0)
     for bound in POISSON_BOUNDS:
         weight = weight + (draw >= bound).cast("int")
@@ -39,13 +45,22 @@ def bootstrap_replicates(
     number of distinct scores.
     """
     long = unpivot_scores(df, {"m1": score_1, "m2": score_2}, ["txn_id", label])
-    placed = long.repartitionByRange("model", "score", "txn_id")
+    # an explicit number keeps the small input of this stage from being merged into
+    # a few tasks: the stage multiplies its rows by the number of replicates
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = long.repartitionByRange(tasks, "model", "score", "txn_id")
     drawn = (
         placed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("weight", poisson_weight(seed, F.col("replicate"), F.col("txn_id")))
-        .where("weight > 0")
+        # as a generator, the draw is computed once and not again inside the filter
+        .withColumn("draw", F.explode(F.array(uniform_draw(seed, F.col("replicate"), F.col("txn_id")))))
+        .where(F.col("draw") >= POISSON_BOUNDS[0])
+        .withColumn("weight", poisson_weight(F.col("draw")))
     )
-    aucs = pr_auc(drawn, "score", label, ["replicate", "model"], weight="weight")
+    by = ["replicate", "model"]
+    # stored, because the running sums read the counts more than once
+    counts = checkpoint(score_counts(drawn, "score", label, by, "weight"))
+    aucs = average_precision(running_sums(counts, "score", ["n", "pos"], by), by)
     return aucs.groupBy("replicate").agg(
         F.max(F.when(F.col("model") == "m1", F.col("pr_auc"))).alias("pr_auc_m1"),
         F.max(F.when(F.col("model") == "m2", F.col("pr_auc"))).alias("pr_auc_m2"),

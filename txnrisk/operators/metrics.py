@@ -25,13 +25,20 @@ def score_steps(
     weight: str | None = None,
 ) -> DataFrame:
     """Per distinct score: rows, positives and both sums down to this score."""
+    return running_sums(score_counts(df, score, label, by, weight), "score", ["n", "pos"], by)
+
+
+def score_counts(
+    df: DataFrame, score: str, label: str = "is_laundering", by: Sequence[str] = (),
+    weight: str | None = None,
+) -> DataFrame:
+    """Rows and positives per distinct score."""
     w = F.col(weight) if weight else F.lit(1)
-    steps = (
+    return (
         df.where(F.col(score).isNotNull())
         .groupBy(*by, F.col(score).alias("score"))
         .agg(F.sum(w).cast("long").alias("n"), F.sum(w * F.col(label)).cast("long").alias("pos"))
     )
-    return running_sums(steps, "score", ["n", "pos"], by)
 
 
 def pr_auc(
@@ -42,7 +49,12 @@ def pr_auc(
 
     Null where there is no positive row.
     """
-    return score_steps(df, score, label, by, weight).groupBy(*by).agg(
+    return average_precision(score_steps(df, score, label, by, weight), by)
+
+
+def average_precision(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Average precision from the steps of ``score_steps``."""
+    return steps.groupBy(*by).agg(
         F.sum("n").alias("n_rows"), F.sum("pos").alias("n_positive"),
         (F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / _null_if_zero(F.sum("pos")))
         .alias("pr_auc"),
