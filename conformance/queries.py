@@ -447,7 +447,7 @@ def pr_auc(s):
 
 @query(sql("""SELECT t.s AS threshold, count(*) AS n_alerts, sum(is_laundering)::BIGINT AS n_hits, """
            + r("sum(is_laundering)::DOUBLE / count(*)", "precision") + ", "
-           + r("sum(is_laundering)::DOUBLE / (SELECT sum(is_laundering) FROM scored WHERE period = 'test')", "recall") + ", "
+           + r("sum(is_laundering)::DOUBLE / nullif((SELECT sum(is_laundering) FROM scored WHERE period = 'test'), 0)", "recall") + ", "
            + r("2 * sum(is_laundering)::DOUBLE / (count(*) + (SELECT sum(is_laundering) FROM scored WHERE period = 'test'))", "f1")
            + f""" FROM (SELECT DISTINCT m1_score AS s FROM {_TEST}) t JOIN {_TEST} x ON x.m1_score >= t.s GROUP BY t.s""", "scored"))
 def pr_curve(s):
@@ -576,7 +576,7 @@ def hard_subset_bootstrap(s):
 
 
 @query(sql("SELECT a.period, a.model, n_rows, n_positive, " + r("n_positive::DOUBLE / n_rows", "prevalence") + ", " + sql_rounded("pr_auc", "roc_auc")
-           + f""" FROM {average_precision(_BOTH, 'score', 'period, model')} a JOIN (
+           + f""" FROM {average_precision(_BOTH, 'score', 'period, model')} a LEFT JOIN (
  SELECT period, model, sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0::DOUBLE END) / count(*) AS roc_auc
  FROM {_BOTH} p JOIN {_BOTH} n USING (period, model) WHERE p.is_laundering = 1 AND n.is_laundering = 0 GROUP BY period, model) b USING (period, model)""", "scored"))
 def tail_report(s):

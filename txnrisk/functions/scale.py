@@ -175,12 +175,14 @@ def running_sums(
 ) -> DataFrame:
     """Add ``cum_<c>``: sum of ``c`` over this and all preceding keys of the group.
 
-    ``df`` has one row per (by, key). Keys are cut into ranges at approximate
+    ``df`` has one row per (by, key). It is read three times (cuts, totals, rows),
+    so it is checkpointed first: what it was computed from is read once. Keys are cut into ranges at approximate
     quantiles, so no window partition holds more than about 1 / 2^levels of all
     rows, even if a single group or none is given. Wherever the cuts fall, the
     sums are exact: each range adds the totals of the ranges before it.
     """
     by = list(by)
+    df = checkpoint(df)
     ranges = 1 << levels
     cuts = df.agg(
         F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.functions.scale import running_sums
-from txnrisk.operators.metrics import average_precision, score_counts, unpivot_scores
-from txnrisk.session import checkpoint
+from txnrisk.operators.metrics import pr_auc, unpivot_scores
 
 # Cumulative Poisson(1) probabilities; the weight of a draw is the
 # number of bounds that do not exceed it.
@@ -58,9 +56,7 @@ def bootstrap_replicates(
         .withColumn("weight", poisson_weight(F.col("draw")))
     )
     by = ["replicate", "model"]
-    # stored, because the running sums read the counts more than once
-    counts = checkpoint(score_counts(drawn, "score", label, by, "weight"))
-    aucs = average_precision(running_sums(counts, "score", ["n", "pos"], by), by)
+    aucs = pr_auc(drawn, "score", label, by, "weight")
     return aucs.groupBy("replicate").agg(
         F.max(F.when(F.col("model") == "m1", F.col("pr_auc"))).alias("pr_auc_m1"),
         F.max(F.when(F.col("model") == "m2", F.col("pr_auc"))).alias("pr_auc_m2"),

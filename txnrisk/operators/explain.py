@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import itertools
 import math
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions.scale import global_index, stack
 from txnrisk.operators.metrics import pr_auc
-from txnrisk.session import ensure_checkpoint_dir
+from txnrisk.session import checkpoint, ensure_checkpoint_dir
 
 
 @dataclasses.dataclass
@@ -44,21 +43,26 @@ class Ensemble:
 
 
 def _effects(value: float, shares: Sequence[float]) -> np.ndarray:
-    """Shapley values of ``value * prod(met or share)`` for every pattern of met tests."""
+    """Shapley values of ``value * prod(met or share)`` for every pattern of met tests.
+
+    For feature j, the product of (share + met x) over the other features has at x^k
+    the sum over all known sets of size k; each size has one Shapley factor.
+    """
     m = len(shares)
-    effect = np.zeros((1 << m, m))
-    for pattern in range(1 << m):
-        met = [(pattern >> i) & 1 for i in range(m)]
-        for j in range(m):
-            others = [i for i in range(m) if i != j]
-            total = 0.0
-            for size in range(m):
-                factor = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-                for known in itertools.combinations(others, size):
-                    total += factor * math.prod(
-                        met[i] if i in known else shares[i] for i in others
-                    )
-            effect[pattern, j] = value * total * (met[j] - shares[j])
+    met = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+    factors = np.array([
+        math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)
+    ])
+    effect = np.empty((1 << m, m))
+    for j in range(m):
+        by_size = np.zeros((1 << m, m))
+        by_size[:, 0] = 1.0
+        for i in range(m):
+            if i != j:
+                grown = by_size * shares[i]
+                grown[:, 1:] += by_size[:, :-1] * met[:, [i]]
+                by_size = grown
+        effect[:, j] = value * (met[:, j] - shares[j]) * (by_size @ factors)
     return effect
 
 
@@ -218,7 +222,7 @@ def grouped_permutation(
     for name, columns in groups.items():
         swapped = mixed.withColumns({c: F.col(f"donor.{c}") for c in columns})
         parts.append(score(swapped).select(F.lit(name).alias("group"), label, "score"))
-    aucs = pr_auc(stack(parts), "score", label, ["group"])
+    aucs = checkpoint(pr_auc(stack(parts), "score", label, ["group"]))
     base = aucs.where(F.col("group") == "none").select("pr_auc").scalar()
     return aucs.where(F.col("group") != "none").withColumn("pr_auc_base", base).select(
         "group", "n_rows", "pr_auc_base", F.col("pr_auc").alias("pr_auc_permuted"),

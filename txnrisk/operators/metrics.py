@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.functions.scale import running_sums, stack
+from txnrisk.functions.scale import running_sums, small_join
+from txnrisk.session import checkpoint
 
 
 def _null_if_zero(column):
@@ -25,20 +26,13 @@ def score_steps(
     weight: str | None = None,
 ) -> DataFrame:
     """Per distinct score: rows, positives and both sums down to this score."""
-    return running_sums(score_counts(df, score, label, by, weight), "score", ["n", "pos"], by)
-
-
-def score_counts(
-    df: DataFrame, score: str, label: str = "is_laundering", by: Sequence[str] = (),
-    weight: str | None = None,
-) -> DataFrame:
-    """Rows and positives per distinct score."""
     w = F.col(weight) if weight else F.lit(1)
-    return (
+    counts = (
         df.where(F.col(score).isNotNull())
         .groupBy(*by, F.col(score).alias("score"))
         .agg(F.sum(w).cast("long").alias("n"), F.sum(w * F.col(label)).cast("long").alias("pos"))
     )
+    return running_sums(counts, "score", ["n", "pos"], by)
 
 
 def pr_auc(
@@ -49,12 +43,7 @@ def pr_auc(
 
     Null where there is no positive row.
     """
-    return average_precision(score_steps(df, score, label, by, weight), by)
-
-
-def average_precision(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision from the steps of ``score_steps``."""
-    return steps.groupBy(*by).agg(
+    return score_steps(df, score, label, by, weight).groupBy(*by).agg(
         F.sum("n").alias("n_rows"), F.sum("pos").alias("n_positive"),
         (F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / _null_if_zero(F.sum("pos")))
         .alias("pr_auc"),
@@ -78,10 +67,9 @@ def pr_curve(
 ) -> DataFrame:
     """Precision, recall and F1 at each distinct score taken as threshold."""
     steps = score_steps(df, score, label, by)
-    totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
+    totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.count(F.lit(1)).alias("_w"))
     if by:
-        # one row per group, groups being models or periods
-        joined = steps.join(totals, list(by))
+        joined = small_join(steps, checkpoint(totals), list(by), "score", "_w", null_safe=True)
     else:
         joined = steps.withColumn("all_pos", totals.select("all_pos").scalar())
     hits = F.col("cum_pos")
@@ -94,20 +82,35 @@ def pr_curve(
     )
 
 
-def pick_threshold(validation: DataFrame, score: str, label: str = "is_laundering") -> DataFrame:
+def pick_threshold(
+    validation: DataFrame, score: str, label: str = "is_laundering", by: Sequence[str] = ()
+) -> DataFrame:
     """The validation score with the best F1; the highest one if several tie."""
     best = F.struct("f1", "threshold")
-    return pr_curve(validation, score, label).agg(
+    return pr_curve(validation, score, label, by).groupBy(*by).agg(
         F.max_by("threshold", best).alias("threshold"), F.max("f1").alias("f1")
     )
 
 
-def apply_threshold(df: DataFrame, score: str, threshold: DataFrame | float) -> DataFrame:
-    """Add ``predicted`` from a frozen threshold (a number or a one-row table)."""
-    limit = F.lit(threshold) if not isinstance(threshold, DataFrame) else (
-        threshold.select("threshold").scalar()
-    )
-    return df.withColumn("predicted", (F.col(score) >= limit).cast("int"))
+def apply_threshold(
+    df: DataFrame, score: str, threshold: DataFrame | float, by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``predicted`` from a frozen threshold.
+
+    ``threshold`` is a number, a one-row table, or with ``by`` a stored table with
+    one row per group.
+    """
+    if not isinstance(threshold, DataFrame):
+        limited = df.withColumn("_limit", F.lit(float(threshold)))
+    elif by:
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_w"))
+        limits = checkpoint(counts.join(threshold, list(by)).select(
+            *by, "_w", F.col("threshold").alias("_limit")
+        ))
+        limited = small_join(df, limits, by, "txn_id", "_w", null_safe=True)
+    else:
+        limited = df.withColumn("_limit", threshold.select("threshold").scalar())
+    return limited.withColumn("predicted", (F.col(score) >= F.col("_limit")).cast("int")).drop("_limit")
 
 
 def threshold_metrics(
@@ -141,7 +144,7 @@ def confusion(predicted: DataFrame, label: str = "is_laundering") -> DataFrame:
 
 def recall_at_budget(
     df: DataFrame, score: str, budget: int | None = None, share: float = 0.01,
-    label: str = "is_laundering",
+    label: str = "is_laundering", by: Sequence[str] = (),
 ) -> DataFrame:
     """Recall when exactly ``budget`` transactions are alerted.
 
@@ -150,34 +153,35 @@ def recall_at_budget(
     rows, so the alerts are never gathered in one place: whole steps are counted,
     and the last step is filled by id.
     """
-    steps = score_steps(df, score, label)
+    keys = list(by) or ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(1))
+    steps = checkpoint(score_steps(df, score, label, keys))
     k = F.lit(budget) if budget is not None else F.ceil(F.round(F.sum("n") * F.lit(share), 6))
-    total = steps.agg(k.cast("long").alias("budget"), F.sum("pos").alias("n_positive"))
-    limit = total.select("budget").scalar()
-    whole = steps.withColumn("budget", limit).where("cum_n <= budget").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos")
-    )
-    edge = steps.withColumn("budget", limit).where("cum_n > budget").agg(
-        F.max("score").alias("score")
-    )
-    tied = df.withColumn("_edge", edge.select("score").scalar()).where(F.col(score) == F.col("_edge"))
-    # ids are unique, so this is one row per tied transaction, ranked by id
-    ranked = running_sums(
-        tied.select(F.col("txn_id"), F.lit(1).alias("one"), F.col(label).cast("long").alias("pos")),
-        "txn_id", ["one"], descending=False,
+    totals = checkpoint(steps.groupBy(*keys).agg(
+        k.cast("long").alias("budget"), F.sum("pos").alias("n_positive"),
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("_w"),
+    ))
+    fits = F.col("cum_n") <= F.col("budget")
+    cut = small_join(steps, totals.drop("rows"), keys, "score", "_w", null_safe=True).groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0).cast("long")).alias("n_whole"),
+        F.coalesce(F.sum(F.when(fits, F.col("pos"))), F.lit(0).cast("long")).alias("pos_whole"),
+        F.max(F.when(~fits, F.col("score"))).alias("edge"),
     )
-    room = F.col("budget") - F.col("n")
+    cut = checkpoint(cut.join(totals.drop("_w"), keys))
+    edge = cut.select(*keys, "edge", (F.col("budget") - F.col("n_whole")).alias("room"), F.col("rows").alias("_w"))
+    tied = small_join(df, edge, keys, "txn_id", "_w", null_safe=True).where(
+        F.col(score) == F.col("edge")
+    ).select(*keys, "txn_id", "room", F.lit(1).alias("one"), F.col(label).cast("long").alias("pos"))
     filled = (
-        ranked.withColumn("budget", limit).withColumn("n", whole.select("n").scalar())
-        .where(F.col("cum_one") <= room)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"))
+        running_sums(tied, "txn_id", ["one"], keys, descending=False)
+        .where("cum_one <= room")
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
     )
-    hits = stack([whole, filled]).agg(F.sum("n").alias("n_alerts"), F.sum("pos").alias("n_hits"))
-    return hits.withColumn("n_positive", total.select("n_positive").scalar()).withColumn(
-        "budget", limit
-    ).select(
-        "budget", "n_alerts", "n_hits", "n_positive",
-        (F.col("n_hits") / _null_if_zero(F.col("n_positive"))).alias("recall"),
+    none = F.lit(0).cast("long")
+    hits = F.col("pos_whole") + F.coalesce("pos", none)
+    return cut.join(filled, keys, "left").select(
+        *by, "budget", (F.col("n_whole") + F.coalesce("n", none)).alias("n_alerts"),
+        hits.alias("n_hits"), "n_positive", (hits / _null_if_zero(F.col("n_positive"))).alias("recall"),
     )
 
 

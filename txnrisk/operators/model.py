@@ -123,26 +123,18 @@ def grid_results(scores: DataFrame, config: Config = Config()) -> DataFrame:
     """Test metrics per model, variant and seed, at the threshold frozen on validation."""
     by = ["model", "variant", "seed"]
     test = scores.where("period = 'test'")
-    ranked = pr_auc(test, "score", by=by).join(roc_auc(test, "score", by=by), by)
-    rows = []
-    for key in scores.select(*by).distinct().collect():  # one row per configuration
-        this = (F.col("model") == key.model) & (F.col("variant") == key.variant) & (
-            F.col("seed") == key.seed
-        )
-        chosen = pick_threshold(scores.where(this & (F.col("period") == "validation")), "score")
-        mine = test.where(this)
-        budget = recall_at_budget(mine, "score", share=config.alert_budget)
-        rows.append(
-            threshold_metrics(apply_threshold(mine, "score", chosen))
-            .withColumn("threshold", chosen.select("threshold").scalar())
-            .withColumn("recall_at_budget", budget.select("recall").scalar())
-            .select(
-                F.lit(key.model).alias("model"), F.lit(key.variant).alias("variant"),
-                F.lit(key.seed).alias("seed"), "threshold", "precision", "recall", "f1",
-                "accuracy", "recall_at_budget",
-            )
-        )
-    return ranked.join(stack(rows), by)
+    chosen = checkpoint(pick_threshold(scores.where("period = 'validation'"), "score", by=by))
+    at_threshold = threshold_metrics(apply_threshold(test, "score", chosen, by), by=by)
+    budget = recall_at_budget(test, "score", share=config.alert_budget, by=by)
+    parts = [
+        roc_auc(test, "score", by=by), chosen.select(*by, "threshold"),
+        at_threshold.select(*by, "precision", "recall", "f1", "accuracy"),
+        budget.select(*by, F.col("recall").alias("recall_at_budget")),
+    ]
+    results = pr_auc(test, "score", by=by)
+    for part in parts:  # one row per configuration on both sides
+        results = results.join(part, by)
+    return results
 
 
 def seed_summary(results: DataFrame, value: str = "pr_auc") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk import schema as S
-from txnrisk.functions.scale import salted_join
+from txnrisk.functions.scale import small_join
 from txnrisk.session import checkpoint
 
 _REPORT = "column_name string, issue string, n_rows long"
@@ -100,11 +100,15 @@ def duplicate_audit(txn: DataFrame, columns: Sequence[str] = tuple(S.SOURCE_COLU
 
 
 def flag_duplicates(txn: DataFrame, columns: Sequence[str] = tuple(S.SOURCE_COLUMNS)) -> DataFrame:
-    """Add ``is_exact_dup`` to every copy but the first; no row is dropped."""
+    """Add ``is_exact_dup`` to every copy but the first; no row is dropped.
+
+    The groups with copies are usually few and then travel to the rows; beyond the
+    broadcast limit the rows of large groups are split.
+    """
     groups = checkpoint(duplicate_audit(txn, columns)).select(
         *columns, "first_txn_id", F.col("n_copies").alias("_copies")
     )
-    joined = salted_join(txn, groups, columns, "txn_id", "_copies", null_safe=True, stored=True)
+    joined = small_join(txn, groups, columns, "txn_id", "_copies", null_safe=True)
     surplus = F.col("first_txn_id").isNotNull() & (F.col("txn_id") != F.col("first_txn_id"))
     return joined.withColumn("is_exact_dup", surplus).drop("first_txn_id")
 

@@ -6,7 +6,7 @@ and a lost executor costs at most the stage at hand.
     data         transactions_clean, node_map, amount_stats, audits
     features     account_history
     graph        edges, graph_node_day, graph_pair_txn
-    experiments  models and results
+    experiments  feature_matrix, models and results
 """
 
 from __future__ import annotations
@@ -88,11 +88,14 @@ def run_graph(spark: SparkSession, out: str, config: Config = Config()) -> None:
 def build_matrix(spark: SparkSession, out: str) -> DataFrame:
     """Feature matrix from the stage tables; one row per transaction, or an error."""
     txn = _with_txn_features(spark, out)
-    matrix = checkpoint(assemble.assemble(
+    assembled = assemble.assemble(
         txn, spark.read.parquet(f"{out}/account_history"),
         tables.read_table(spark, f"{out}/graph_node_day", S.GRAPH_NODE_DAY),
         tables.read_table(spark, f"{out}/graph_pair_txn", S.GRAPH_PAIR_TXN),
-    ))
+    )
+    # columnar and by period: a fit reads its columns of the training files only
+    assembled.write.mode("overwrite").partitionBy("period").parquet(f"{out}/feature_matrix")
+    matrix = spark.read.schema(assembled.schema).parquet(f"{out}/feature_matrix")
     before, after = txn.count(), matrix.count()
     if before != after:
         raise RuntimeError(f"assembly changed the row count from {before} to {after}")
