@@ -107,7 +107,7 @@ def _out_degrees(links: DataFrame, last: int) -> DataFrame:
 def _powers(
     links: DataFrame, n_nodes: dict[int, int], last: int, damping: float, iterations: int
 ) -> list[DataFrame]:
-    """Powers 1 .. iterations as stored ``(node_id, day, v)`` tables.
+    """Powers 1 .. iterations as stored ``(node_id, day, v, degree)`` tables.
 
     All of them enter the result, so storing each one is not extra work.
     """
@@ -134,13 +134,10 @@ def _powers(
     links = links.repartition(*keys).persist(StorageLevel.MEMORY_AND_DISK)
     links.count()
 
-    def shares(power: DataFrame) -> DataFrame:
-        share = power.join(degrees, ["node_id", "day"]).select(
-            F.col("node_id").alias("src"), "day", (F.col("v") * damping / F.col("degree")).alias("share")
+    def shares(ranks: DataFrame, v: Column) -> DataFrame:
+        share = ranks.where("degree IS NOT NULL").select(
+            F.col("node_id").alias("src"), "day", (v * damping / F.col("degree")).alias("share")
         )
-        return with_salts(share)
-
-    def with_salts(share: DataFrame) -> DataFrame:
         if not split:
             return share
         return share.join(F.broadcast(hot), "src", "left").withColumn(
@@ -151,19 +148,19 @@ def _powers(
         return (
             share.join(links, keys).where("t < day")
             .groupBy(F.col("dst").alias("node_id"), "day").agg(F.sum("share").alias("v"))
+            # the sums are already placed by (node, day), like the degrees
+            .join(degrees, ["node_id", "day"], "left")
         )
 
     starts = F.element_at(
         F.array(*[F.lit(1.0 / n) for n in n_nodes.values()]), F.col("day") - (min(n_nodes) - 1)
     )
-    share = with_salts(degrees.select(
-        F.col("node_id").alias("src"), "day", (starts * damping / F.col("degree")).alias("share")
-    ))
+    share = shares(degrees, starts)
     stored = []
     for _ in range(iterations):
         power = checkpoint(passed_on(share))
         stored.append(power)
-        share = shares(power)
+        share = shares(power, F.col("v"))
     # the powers are stored by now
     links.unpersist()
     degrees.unpersist()
