@@ -16,7 +16,6 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--out", required=True, help="folder of the stage tables")
     parser.add_argument("--config", help="YAML or JSON file with settings")
-
     args = parser.parse_args()
     spark = SparkSession.builder.appName("txnrisk-experiments").getOrCreate()
     jobs.run_experiments(spark, args.out, load_config(args.config))

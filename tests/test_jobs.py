@@ -56,7 +56,7 @@ def test_checkpoint_folder_comes_from_the_session():
     assert "FOLDER True" in done.stdout, done.stderr[-500:]
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n not in ("hard_subset_bootstrap",)])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     """At the smallest scale here; the comparison tool runs the same at larger ones."""
     assert differences(QUERIES[name](spark, SF), duck(SF), ORACLES[name]) == []
