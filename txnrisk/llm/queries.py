@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnrisk.llm import bpe, packing, rans, token_counts
+from txnrisk.llm import bpe, packing, rans, simhash, token_counts
 from txnrisk.llm.tables import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -31,6 +35,6 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_packing, op9_bpe, op10_token_ids)
+    f.__name__: f for f in (op2_token_counts, op3_packing, op7_simhash, op9_bpe, op10_token_ids)
 }
 ORACLES: dict[str, str] = {}
