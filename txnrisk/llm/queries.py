@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnrisk.llm import bpe, packing, rans, simhash, token_counts, vectors
+from txnrisk.llm import bpe, packing, rans, sampling, simhash, token_counts, vectors
 from txnrisk.llm.tables import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,8 +29,8 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_VECTORS_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -42,6 +42,10 @@ FROM (SELECT a, min(b) AS root FROM reach GROUP BY a) r
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON r.a = l.a"""
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.document_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_packing, op4_near_vectors, op7_simhash, op9_bpe, op10_token_ids)
+    f.__name__: f for f in (op2_token_counts, op3_packing, op4_near_vectors, op6_fingerprints, op7_simhash, op9_bpe, op10_token_ids)
 }
 ORACLES: dict[str, str] = {"op4_near_vectors": NEAR_VECTORS_SQL}
