@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnrisk.llm import bpe, packing, rans, sampling, simhash, token_counts, vectors
+from txnrisk.llm import (
+    bpe, language, packing, rans, sampling, simhash, token_counts, toxicity, vectors,
+)
 from txnrisk.llm.tables import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +44,10 @@ FROM (SELECT a, min(b) AS root FROM reach GROUP BY a) r
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON r.a = l.a"""
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.document_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -50,6 +56,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -59,6 +69,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_packing, op4_near_vectors, op6_fingerprints, op7_simhash, op9_bpe, op10_token_ids)
+    f.__name__: f for f in (
+        op2_token_counts, op3_packing, op4_near_vectors, op5_toxicity, op6_fingerprints, op7_simhash,
+        op8_language, op9_bpe, op10_token_ids,
+    )
 }
 ORACLES: dict[str, str] = {"op4_near_vectors": NEAR_VECTORS_SQL}
