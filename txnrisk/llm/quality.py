@@ -5,11 +5,12 @@ all trusted documents that may be learned from. An n-gram of up to seven bytes i
 long, so counts, continuation counts and contexts are plain grouped tables.
 
 Scoring moves no n-gram per document. Documents are dealt into blocks by a hash of
-their id; a block gives its distinct n-grams once; these are grouped over all blocks
-and joined with the counts, order by order; the logarithms of the probabilities go
-back to the blocks, where every position of every text looks its own up. An n-gram
-meets a block at most once, and a key of a join has at most 65,536 n-grams, so no
-key is hot.
+their id, compressed on the way; a block gives its distinct n-grams once, packed by
+shard. A shard is a group of the two bytes before the last: all counts and contexts
+that an n-gram needs, from three bytes on, lie in its own shard, so one join of
+packed rows with the sharded counts answers for all orders (those of two bytes have
+at most 65,536 entries and go along as arrays). The logarithms of the probabilities
+go back to the blocks, where every position of every text looks its own up.
 
 A document is kept if its perplexity is at most the quantile that trusted documents
 of its language have that the model was not trained on.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.functions.scale import small_join
+from txnrisk.functions.scale import small_join, stack
 from txnrisk.llm import chunks
 from txnrisk.llm.tables import fold, spread
 from txnrisk.session import checkpoint
@@ -114,62 +115,153 @@ def model(counts: DataFrame, order: int = ORDER) -> list[Level]:
     return levels
 
 
-def log_probabilities(needed: DataFrame, levels: list[Level]) -> DataFrame:
-    """``needed`` (gram and other columns) with log_p, the log probability of its last byte.
+def _dense(level: Level, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``value`` and ``rest`` of a level of at most two bytes as arrays (at most 65,536 entries)."""
+    value, rest = np.zeros(256**k), np.ones(256 ** (k - 1))
+    for r in level.grams.collect():
+        value[r["gram"]] = r["value"]
+    for r in level.contexts.collect():
+        rest[r["context"]] = r["rest"]
+    return value, rest
 
-    From the lowest order up, ``p = value + rest * p``; an unknown context leaves p.
-    Tables of up to two bytes have at most 65,536 rows and are broadcast.
-    """
-    found = needed.withColumn("p", F.lit(1 / 256))
+
+def _shard(two_bytes: Column, shards: int) -> Column:
+    return F.pmod(two_bytes * 40_503, F.lit(shards)).cast("int")
+
+
+def sharded(levels: list[Level], shards: int) -> DataFrame:
+    """shard, kind (2 k for n-grams of k bytes, 2 k + 1 for their contexts), key, value, for k from 3."""
+    parts = []
     for k, level in enumerate(levels, start=1):
-        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        found = found.withColumns({"_gram": key, "_context": F.shiftright(key, 8)})
-        tables = [
-            (level.grams.withColumnRenamed("gram", "_gram"), "_gram", k),
-            (level.contexts.withColumnRenamed("context", "_context"), "_context", k - 1),
-        ]
-        for table, on, n_bytes in tables:
-            found = found.join(F.broadcast(table) if n_bytes <= 2 else table, on, "left")
-        p = F.coalesce("value", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p")
-        found = found.withColumn("p", p).drop("_gram", "_context", "value", "rest")
-    return found.withColumn("log_p", F.log("p")).drop("p")
-
-
-def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None) -> DataFrame:
+        if k > 2:
+            for kind, table, key, value, shift in (
+                (2 * k, level.grams, "gram", "value", 8), (2 * k + 1, level.contexts, "context", "rest", 0),
+            ):
+                two = F.shiftright(key, shift).bitwiseAND(F.lit(0xFFFF))
+                parts.append(table.select(
+                    _shard(two, shards).alias("shard"), F.lit(kind).alias("kind"), F.col(key).alias("key"),
+                    F.col(value).alias("value")))
+    return stack(parts) if parts else levels[0].grams.select(
+        F.lit(0).alias("shard"), F.lit(0).alias("kind"), F.col("gram").alias("key"), "value").limit(0)
+
+
+def log_probabilities(
+    gram: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], tables: dict[int, tuple[np.ndarray, np.ndarray]], order: int
+) -> np.ndarray:
+    """Log probability of the last byte of each n-gram, from the lowest order up: ``value + rest * p``."""
+    p = np.full(len(gram), 1 / 256)
+    for k in range(1, order + 1):
+        own = gram & ((1 << 8 * k) - 1)
+        if k <= len(low):
+            p = low[k - 1][0][own] + low[k - 1][1][own >> 8] * p
+        else:
+            p = _find(tables.get(2 * k), own, 0.0) + _find(tables.get(2 * k + 1), own >> 8, 1.0) * p
+    return np.log(p)
+
+
+def _find(table: tuple[np.ndarray, np.ndarray] | None, key: np.ndarray, default: float) -> np.ndarray:
+    if table is None or not len(table[0]):
+        return np.full(len(key), default)
+    at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+    return np.where(table[0][at] == key, table[1][at], default)
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+
+def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None, shards: int | None = None) -> DataFrame:
     """doc_id, lang, n_bytes and perplexity (per byte) of every row; null for an empty or null text."""
     order = len(levels)
-    blocks = blocks or 2 * spread(docs.sparkSession, None, 1)
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", "lang"
-    )
+    blocks = blocks or spread(docs.sparkSession, None, 1)
+    shards = shards or spread(docs.sparkSession, None, 1)
+    low = [_dense(level, k) for k, level in enumerate(levels[:2], start=1)]
+    shard_of = np.arange(1 << 16) * 40_503 % shards
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, part in chunks.slices(batch.column("text")):
+                rows = batch.slice(begin, len(part))
+                block = rows.column("block").to_numpy()
+                rank = np.argsort(block, kind="stable")
+                table = pa.Table.from_batches([rows.drop_columns(["block"])]).take(pa.array(rank))
+                starts = np.flatnonzero(np.diff(block[rank], prepend=-1))
+                payload = [_packed(table.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(rank)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[rank][starts]), pa.array(payload, pa.binary())], ["block", "payload"])
+
+    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block")
+    dealt = docs.select(block, "doc_id", "lang", "text").mapInArrow(deal, "block int, payload binary")
+
+    def of_block(table: pa.Table) -> np.ndarray:
+        """The distinct n-grams of a block, by shard and in order within it."""
+        own = [np.zeros(0, np.int64)]
+        for payload in table.column("payload"):
+            own += [np.unique(grams(part, order)[0]) for _, part in _parts(_unpacked(payload).column("text").combine_chunks())]
+        gram = np.unique(np.concatenate(own))
+        return gram[np.argsort(shard_of[gram >> 8 & 0xFFFF], kind="stable")]
 
     def distinct(table: pa.Table) -> pa.Table:
-        own = [np.unique(grams(part, order)[0]) for _, part in _parts(table.column("text").combine_chunks())]
-        gram = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-        return pa.table({"block": pa.array(np.full(len(gram), table.column("block")[0].as_py(), np.int32)), "gram": gram})
-
-    needed = dealt.groupBy("block").applyInArrow(distinct, "block int, gram long")
-    # one row per distinct n-gram, with the blocks that have it
-    wanted = needed.groupBy("gram").agg(F.collect_list("block").alias("blocks"))
-    known = log_probabilities(wanted, levels)
-    known = known.select(F.explode("blocks").alias("block"), "gram", F.col("log_p").cast("float").alias("log_p"))
-
-    def score(texts: pa.Table, table: pa.Table) -> pa.Table:
-        gram, log_p = table.column("gram").to_numpy(), table.column("log_p").to_numpy().astype(np.float64)
+        gram = of_block(table)
+        shard = shard_of[gram >> 8 & 0xFFFF]
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
+        packed = [_packed(pa.table({"gram": gram[a:b]})) for a, b in zip(starts, [*starts[1:], len(gram)])]
+        return pa.table({
+            "block": pa.array(np.full(len(starts), table.column("block")[0].as_py()), pa.int32()),
+            "shard": pa.array(shard[starts], pa.int32()), "payload": pa.array(packed, pa.binary()),
+        })
+
+    def look_up(wanted: pa.Table, counts: pa.Table) -> pa.Table:
+        kind, key, value = (counts.column(c).to_numpy() for c in ("kind", "key", "value"))
+        tables = {}
+        for k in np.unique(kind).tolist():
+            own = key[kind == k]
+            rank = np.argsort(own)
+            tables[k] = own[rank], value[kind == k][rank]
+        found = [
+            log_probabilities(_unpacked(p).column("gram").to_numpy(), low, tables, order).astype("<f4").tobytes()
+            for p in wanted.column("payload")
+        ] if len(wanted) else []
+        return pa.table({
+            "block": pa.array(wanted.column("block") if found else [], pa.int32()),
+            "shard": pa.array(wanted.column("shard") if found else [], pa.int32()),
+            "payload": pa.array(found, pa.binary()),
+        })
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        gram = of_block(texts) if len(texts) else np.zeros(0, np.int64)
+        shard = found.column("shard").to_numpy()
+        logs = [np.frombuffer(found.column("payload")[k].as_buffer(), "<f4") for k in np.argsort(shard)]
+        log_p = np.concatenate([np.zeros(0), *logs])
         rank = np.argsort(gram)
         gram, log_p = gram[rank], log_p[rank]
-        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for begin, part in _parts(texts.column("text").combine_chunks()) if len(texts) else ():
-            own, size = grams(part, order)
-            values = log_p[np.searchsorted(gram, own)]
-            sums = np.concatenate([[0.0], np.cumsum(values)])
-            ends = np.cumsum(size)
-            n[begin : begin + len(part)] = size
-            total[begin : begin + len(part)] = sums[ends] - sums[ends - size]
-        mean = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
-        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n_bytes": n, "perplexity": mean})
-
-    pair = dealt.groupBy("block").cogroup(known.groupBy("block"))
+        out = [pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
+                         "n_bytes": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})]
+        for payload in texts.column("payload") if len(texts) else ():
+            rows = _unpacked(payload)
+            n, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            for begin, part in _parts(rows.column("text").combine_chunks()):
+                own, size = grams(part, order)
+                sums = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(gram, own)])])
+                ends = np.cumsum(size)
+                n[begin : begin + len(part)] = size
+                total[begin : begin + len(part)] = sums[ends] - sums[ends - size]
+            mean = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
+            out.append(pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang").cast(pa.string()),
+                                 "n_bytes": pa.array(n), "perplexity": mean}))
+        return pa.concat_tables(out)
+
+    wanted = dealt.groupBy("block").applyInArrow(distinct, "block int, shard int, payload binary")
+    counts = sharded(levels, shards)
+    found = wanted.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(look_up, "block int, shard int, payload binary")
+    pair = dealt.groupBy("block").cogroup(found.groupBy("block"))
     return pair.applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
