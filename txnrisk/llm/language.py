@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.tables import fold, text_rows
+from txnrisk.llm.tables import fold, sample, text_rows
 
 UNKNOWN = "und"
 
@@ -182,11 +182,10 @@ def predict(model: Model, texts: Sequence[str]) -> tuple[list[str], np.ndarray]:
 
 def train_on(docs: DataFrame, s: Settings) -> Model:
     """Fit on a bounded sample of rows that may be learned from, the smallest hashes of ids."""
-    rows = (
-        docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (fold() != 1))
-        .select("doc_id", F.substring("text", 1, 16 * s.window).alias("text"), "lang")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample).select("text", "lang").collect()
-    )
+    labelled = docs.where(F.col("lang").isNotNull() & (fold() != 1))
+    rows = labelled.where(F.col("text").rlike(r"\p{L}")).select(
+        "doc_id", F.substring("text", 1, 16 * s.window).alias("text"), "lang")
+    rows = sample(rows, s.sample, labelled.count()).select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], s)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.llm import chunks
-from txnrisk.llm.tables import fold, text_rows
+from txnrisk.llm.tables import fold, sample, text_rows
 
 WORD = re.compile(r"\w+(?:['@*$!.]\w+)*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -233,13 +233,11 @@ def train_on(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     Rows with a null text or label or a text beyond ``sample_chars`` are not sampled;
     of equal texts one row is kept.
     """
-    labelled = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    rows = (
-        docs.where(F.col("text").isNotNull() & (fold() != 1) & (F.length("text") <= s.sample_chars))
-        .select("doc_id", "text").join(labelled, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample).select("text", "toxic").collect()
-    )
-    of = {r["text"]: int(r["toxic"]) for r in rows}
+    labelled = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.where(F.col("text").isNotNull() & (fold() != 1) & (F.length("text") <= s.sample_chars))
+    rows = rows.select("doc_id", "text").join(sample(labelled.where(fold() != 1), s.sample, labelled.count()), "doc_id")
+    rows = rows.select("text", "toxic").collect()
+    of = dict(sorted((r["text"], int(r["toxic"])) for r in rows))  # in the same order each time
     return fit(list(of), list(of.values()), s)
 
 
