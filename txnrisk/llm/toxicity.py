@@ -114,13 +114,16 @@ def fit(texts: Sequence[str], labels: Sequence[int], s: Settings) -> Model:
     """Train the embedding table and the softmax together by cross entropy."""
     rng = np.random.default_rng(s.seed)
     slot: dict[str, int] = {}
-    docs = [np.array([slot.setdefault(w, len(slot)) for w in words(t)], np.int64) for t in texts]
+    docs = [np.array([slot.setdefault(w, len(slot)) for w in words(t)], np.int32) for t in texts]
     kept = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in kept], np.array([labels[k] for k in kept], np.int64)
     if len(np.unique(y)) < 2:  # nothing to tell apart: the share of the label
         share = np.clip(float(y.mean()) if len(y) else 0.0, 1e-3, 1 - 1e-3)
         return Model(np.zeros(1 << s.bits, np.float32), 1.0, float(np.log(share / (1 - share))), s)
-    rows, n = subwords(list(slot), s)
+    vocabulary = list(slot)
+    pieces = [subwords(vocabulary[at : at + (1 << 14)], s) for at in range(0, len(vocabulary), 1 << 14)]
+    rows = np.concatenate([r.astype(np.int32) for r, _ in pieces])
+    n = np.concatenate([c for _, c in pieces])
     start = np.cumsum(n) - n
     # rows that few texts have would only learn these texts by heart
     seen = np.zeros(1 << s.bits, np.int64)
@@ -129,8 +132,8 @@ def fit(texts: Sequence[str], labels: Sequence[int], s: Settings) -> Model:
         seen[np.unique(chunks.gather(rows, start[own], n[own]))] += 1
     frequent = seen >= max(2, int(s.min_share * len(docs)))
     keep = frequent[rows]
-    word = np.repeat(np.arange(len(n)), n)[keep]
-    compact = (np.cumsum(frequent) - 1)[rows[keep]]
+    word = np.repeat(np.arange(len(n), dtype=np.int32), n)[keep]
+    compact = (np.cumsum(frequent) - 1).astype(np.int32)[rows[keep]]
     n_kept = np.bincount(word, minlength=len(n))
     start_kept = np.cumsum(n_kept) - n_kept
 
