@@ -113,8 +113,9 @@ def duplicate_flags(s):
 
 
 @query(sql("""
-SELECT 'endpoint_not_in_node_map' AS check_name, bank || '/' || account AS entity, count(*) AS n
-FROM (SELECT from_bank AS bank, from_account AS account FROM txn UNION ALL SELECT to_bank, to_account FROM txn) WHERE bank = 3 GROUP BY ALL
+SELECT 'endpoint_not_in_node_map' AS check_name, bank || '/' || account AS entity, sum(1 + (receiving_currency = 'JPY')::INTEGER)::BIGINT AS n
+FROM (SELECT from_bank AS bank, from_account AS account, receiving_currency FROM txn UNION ALL SELECT to_bank, to_account, receiving_currency FROM txn)
+WHERE bank = 3 GROUP BY bank, account
 UNION ALL SELECT 'missing_in_pair', txn_id::VARCHAR, 0 FROM txn WHERE payment_format = 'Cash'
 UNION ALL SELECT 'txn_id_repeated', txn_id::VARCHAR, 2 FROM txn WHERE receiving_currency = 'JPY'
 UNION ALL SELECT 'unexpected_in_pair', txn_id::VARCHAR, 2 FROM txn WHERE receiving_currency = 'JPY' AND payment_format <> 'Cash'""", "txn"))
@@ -122,11 +123,7 @@ def id_consistency(s):
     txn = s.txn.unionByName(s.txn.where("receiving_currency = 'JPY'"))
     nodes = s.node_map.where("bank <> 3")
     pair = txn.where("payment_format <> 'Cash'").select("txn_id")
-    found = quality.id_consistency(txn, nodes, {"pair": pair})
-    ends = F.col("check_name") == "endpoint_not_in_node_map"
-    # repeated rows count twice; the SQL counts each endpoint of the original rows
-    extra = quality.id_consistency(s.txn, nodes).where(ends)
-    return stack([found.where(~ends), extra])
+    return quality.id_consistency(txn, nodes, {"pair": pair})
 
 
 @query(sql("""SELECT count(*) AS n_rows, sum(is_laundering)::BIGINT AS n_positive, """ + r("avg(is_laundering)", "prevalence") + f""",
@@ -456,11 +453,11 @@ def pr_curve(s):
     )
 
 
-@query(sql("""SELECT model, """ + r("""(sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0::DOUBLE END)) / count(*)""", "roc_auc")
-           + f""" FROM {_BOTH} p JOIN {_BOTH} n USING (period, model) WHERE period = 'tail' AND p.is_laundering = 1 AND n.is_laundering = 0 GROUP BY model""", "scored"))
+@query(sql("""SELECT period, model, """ + r("""(sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0::DOUBLE END)) / count(*)""", "roc_auc")
+           + f""" FROM {_BOTH} p JOIN {_BOTH} n USING (period, model) WHERE p.is_laundering = 1 AND n.is_laundering = 0 GROUP BY period, model""", "scored"))
 def roc_auc(s):
-    tail = _long_scores(s, "period").where("period = 'tail'")
-    return metrics.roc_auc(tail, "score", by=["model"]).select("model", *rounded("roc_auc"))
+    found = metrics.roc_auc(_long_scores(s, "period"), "score", by=["period", "model"])
+    return found.select("period", "model", *rounded("roc_auc"))
 
 
 _VALID_F1 = """(SELECT t.s AS threshold, 2 * sum(is_laundering)::DOUBLE / (count(*) + (SELECT sum(is_laundering) FROM scored WHERE period = 'validation')) AS f1
@@ -508,13 +505,14 @@ def confusion(s):
     return metrics.confusion(_predicted(s))
 
 
-@query(sql("""SELECT budget, count(*) AS n_alerts, sum(is_laundering)::BIGINT AS n_hits, n_positive, """
+@query(sql("""SELECT period, budget, count(*) AS n_alerts, sum(is_laundering)::BIGINT AS n_hits, n_positive, """
            + r("sum(is_laundering)::DOUBLE / n_positive", "recall") + """ FROM (
- SELECT is_laundering, row_number() OVER (ORDER BY m1_score DESC, txn_id) AS rn, (ceil(round(count(*) OVER () * 0.01::DOUBLE, 6)))::BIGINT AS budget,
- (sum(is_laundering) OVER ())::BIGINT AS n_positive FROM scored WHERE period = 'tail') WHERE rn <= budget GROUP BY budget, n_positive""", "scored"))
+ SELECT period, is_laundering, row_number() OVER (PARTITION BY period ORDER BY m1_score DESC, txn_id) AS rn,
+ (ceil(round(count(*) OVER (PARTITION BY period) * 0.01::DOUBLE, 6)))::BIGINT AS budget,
+ (sum(is_laundering) OVER (PARTITION BY period))::BIGINT AS n_positive FROM scored) WHERE rn <= budget GROUP BY period, budget, n_positive""", "scored"))
 def recall_at_budget(s):
-    return metrics.recall_at_budget(s.scored.where("period = 'tail'"), "m1_score").select(
-        *long("budget", "n_alerts", "n_hits", "n_positive"), *rounded("recall")
+    return metrics.recall_at_budget(s.scored, "m1_score", by=["period"]).select(
+        "period", *long("budget", "n_alerts", "n_hits", "n_positive"), *rounded("recall")
     )
 
 
@@ -535,15 +533,15 @@ def pr_auc_delta(s):
     return _delta(s.scored.where("period = 'test'"))
 
 
-_HARD = "(SELECT * FROM scored WHERE payment_format = 'ACH' AND t_is_self_loop = 0 AND t_is_fx = 0)"
+_HARD = "(SELECT * FROM scored WHERE period = 'test' AND payment_format = 'ACH' AND t_is_self_loop = 0 AND t_is_fx = 0)"
 
 
 @query(sql(_delta_sql(_HARD), "scored"))
 def hard_subset(s):
-    return _delta(metrics.hard_subset(s.scored))
+    return _delta(metrics.hard_subset(s.scored.where("period = 'test'")))
 
 
-REPLICATES = 50
+REPLICATES = 200
 
 
 def _bootstrap_sql(where: str) -> str:
@@ -568,9 +566,9 @@ def paired_bootstrap(s):
     )
 
 
-@query(sql(_bootstrap_sql("payment_format = 'ACH' AND t_is_self_loop = 0 AND t_is_fx = 0"), "scored"))
+@query(sql(_bootstrap_sql("period = 'test' AND payment_format = 'ACH' AND t_is_self_loop = 0 AND t_is_fx = 0"), "scored"))
 def hard_subset_bootstrap(s):
-    return _interval(metrics.hard_subset(s.scored)).select(
+    return _interval(metrics.hard_subset(s.scored.where("period = 'test'"))).select(
         "n_replicates", *rounded("mean_delta", "ci_low", "ci_high")
     )
 
@@ -586,8 +584,7 @@ def tail_report(s):
     )
 
 
-_DRIFT = ["t_log_amount_paid", "t_amount_z_in_currency", "t_hour", "g_pair_prior_count_log", "s_n_out_rate",
-          "r_days_since_last", "s_g_pagerank_log", "r_g_wcc_size_log"]
+_DRIFT = [c for c in S.feature_set("M2", "full") if c not in S.CATEGORICAL]
 
 
 @query(sql("""SELECT feature, n_base, n_against, """ + r("psi", "psi") + """ FROM (
@@ -685,15 +682,15 @@ def _permutation_sql() -> str:
     body = ("SELECT g.grp AS \"group\", g.n_rows, " + r("b.pr_auc", "pr_auc_base") + ", " + r("g.pr_auc", "pr_auc_permuted") + ", "
             + r("b.pr_auc - g.pr_auc", "importance")
             + f" FROM {average_precision(source, 'score', 'grp')} g, {average_precision(source, 'score', 'grp')} b WHERE b.grp = 'none' AND g.grp <> 'none'")
-    extra = """, ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY txn_id) AS rn FROM matrix WHERE period = 'tail'),
- shuffled AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('42|' || txn_id), txn_id) AS rn FROM matrix WHERE period = 'tail')
+    extra = """, ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY txn_id) AS rn FROM matrix WHERE period = 'test'),
+ shuffled AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('42|' || txn_id), txn_id) AS rn FROM matrix WHERE period = 'test')
 """
     return sql("SELECT @@", "matrix").replace("\nSELECT @@", extra + body)
 
 
 @query(_permutation_sql())
 def grouped_permutation(s):
-    return explain.grouped_permutation(s.matrix.where("period = 'tail'"), _surrogate, S.GROUPS).select(
+    return explain.grouped_permutation(s.matrix.where("period = 'test'"), _surrogate, S.GROUPS).select(
         "group", "n_rows", *rounded("pr_auc_base", "pr_auc_permuted", "importance")
     )
 
@@ -761,13 +758,14 @@ def suspicious_subgraph(s):
 
 
 @query(sql(f"""SELECT x.txn_id, CAST(txn_date AS VARCHAR) AS txn_date, src, dst, payment_format, payment_currency, amount_paid, m1_score, m2_score,
- (m1_score >= threshold)::INTEGER AS m1_predicted, (m2_score >= threshold)::INTEGER AS m2_predicted, is_laundering::INTEGER AS actual, features
-FROM {_TEST} x, {_CHOSEN} JOIN (SELECT txn_id, string_agg(feature, ',' ORDER BY rn) AS features FROM (
+ (m1_score >= c1.threshold)::INTEGER AS m1_predicted, (m2_score >= c2.threshold)::INTEGER AS m2_predicted, is_laundering::INTEGER AS actual, features
+FROM {_TEST} x, {_CHOSEN} c1, {_CHOSEN.replace("m1_score", "m2_score")} c2 JOIN (SELECT txn_id, string_agg(feature, ',' ORDER BY rn) AS features FROM (
  SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY abs(phi) DESC, feature) AS rn FROM {_LINEAR_SQL}) WHERE rn <= 3 GROUP BY txn_id) t ON t.txn_id = x.txn_id""", "scored"))
 def inspector(s):
-    chosen = metrics.pick_threshold(s.scored.where("period = 'validation'"), "m1_score")
-    scored = metrics.apply_threshold(s.scored, "m1_score", chosen).withColumnRenamed("predicted", "m1_predicted")
-    scored = metrics.apply_threshold(scored, "m2_score", chosen).withColumnRenamed("predicted", "m2_predicted")
+    scored = s.scored
+    for name in ("m1", "m2"):
+        chosen = metrics.pick_threshold(s.scored.where("period = 'validation'"), f"{name}_score")
+        scored = metrics.apply_threshold(scored, f"{name}_score", chosen).withColumnRenamed("predicted", f"{name}_predicted")
     table = report.inspector(scored, explain.shap_top_k(_linear_shap(s), list(LINEAR), 3))
     return table.select(
         "txn_id", text("txn_date"), "src", "dst", "payment_format", "payment_currency", "amount_paid", "m1_score",
@@ -778,11 +776,19 @@ def inspector(s):
 
 # --- leakage checks -------------------------------------------------------------
 
-@query(sql("SELECT CAST(txn_date AS VARCHAR) AS row_key, payment_format AS column_name, payment_format AS value_a, payment_format AS value_b FROM txn WHERE false", "txn"))
+@query(sql("""SELECT node_id || '/' || CAST(feature_date AS VARCHAR) AS row_key, 'n_out_rate' AS column_name,
+ """ + r("n_out_rate + 1", "value_a") + ", " + r("n_out_rate", "value_b") + " FROM hist WHERE has_history = 1 AND node_id % 7 = 0 AND day(feature_date) % 5 = 0", "hist"))
 def strict_date_audit(s):
-    return leakage.strict_date_audit(s.clean, s.history, s.first_date, s.last_date)
+    """Rates planted one too high; the audit finds these cells and no other."""
+    leaky = (F.col("node_id") % 7 == 0) & (F.dayofmonth("feature_date") % 5 == 0)
+    history = s.history.withColumn("n_out_rate", F.col("n_out_rate") + leaky.cast("int"))
+    found = leakage.strict_date_audit(s.clean, history, s.first_date, s.last_date)
+    return found.select("row_key", "column_name", *rounded("value_a", "value_b"))
 
 
-@query(sql("SELECT src, dst FROM snaps WHERE first_date >= d", "snaps"))
+@query(sql("SELECT src, dst, CAST(d AS VARCHAR) AS feature_date FROM snaps WHERE first_date + INTERVAL 1 DAY = d AND src % 3 = 0", "snaps"))
 def snapshot_audit(s):
-    return graph.snapshot_audit(graph.snapshots(s.edges, s.last_date)).select("src", "dst")
+    """First dates planted a day late in one third of the senders: the first snapshot of each such edge leaks."""
+    late = F.date_add("first_date", F.when(F.col("src") % 3 == 0, 1).otherwise(0))
+    planted = graph.snapshots(s.edges, s.last_date).withColumn("first_date", late)
+    return graph.snapshot_audit(planted).select("src", "dst", text("feature_date"))

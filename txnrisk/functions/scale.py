@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -171,21 +172,24 @@ def running_sums(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = True,
-    levels: int = 7,
+    levels: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``: sum of ``c`` over this and all preceding keys of the group.
 
     ``df`` has one row per (by, key). It is read three times (cuts, totals, rows),
-    so it is checkpointed first: what it was computed from is read once. Keys are cut into ranges at approximate
-    quantiles, so no window partition holds more than about 1 / 2^levels of all
-    rows, even if a single group or none is given. Wherever the cuts fall, the
+    so it is checkpointed first: what it was computed from is read once. Keys are cut
+    into 2^levels ranges at approximate quantiles; without ``levels`` as many as
+    keep a range at an eighth of hotKeyRows, and 128 at least, even if a single
+    group or none is given. Wherever the cuts fall, the
     sums are exact: each range adds the totals of the ranges before it.
     """
     by = list(by)
     df = checkpoint(df)
+    if levels is None:
+        levels = max(7, math.ceil(math.log2(max(1, 8 * df.count() / hot_rows(df.sparkSession)))))
     ranges = 1 << levels
     cuts = df.agg(
-        F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")
+        F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 16 * ranges)).alias("cuts")
     ).scalar()
     # number of cuts below the key, by bisection
     ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))

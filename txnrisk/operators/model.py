@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,7 +21,7 @@ from txnrisk.functions.scale import stack
 from txnrisk.operators.metrics import (
     apply_threshold, pick_threshold, pr_auc, recall_at_budget, roc_auc, threshold_metrics,
 )
-from txnrisk.session import checkpoint
+from txnrisk.session import checkpoint, ensure_checkpoint_dir
 
 
 def feature_pipeline(columns: Sequence[str]) -> Pipeline:
@@ -41,44 +43,42 @@ def feature_pipeline(columns: Sequence[str]) -> Pipeline:
 
 
 def train(
-    matrix: DataFrame, columns: Sequence[str], seed: int, pos_weight: float,
-    config: Config = Config(), trainer: str = "gbt",
+    matrix: DataFrame, columns: Sequence[str], seed: int, pos_weight: float, config: Config = Config(),
 ) -> PipelineModel:
     """Fit on the training period; a positive row weighs ``pos_weight``.
 
-    ``trainer="xgboost"`` takes the distributed estimator of that package where it
-    is installed.
+    Every category needs a bin of its own, so there are at least as many bins as the
+    widest categorical column has values in training, unseen ones included. A null
+    number stops the fit before it starts, with the number of rows that have one.
     """
+    ensure_checkpoint_dir(matrix.sparkSession)
     rows = matrix.where("period = 'train'").select(
         *columns, F.col("is_laundering").cast("double").alias("label"),
         F.when(F.col("is_laundering") == 1, F.lit(float(pos_weight))).otherwise(1.0).alias("weight"),
     )
-    if trainer == "gbt":
-        estimator = GBTClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", seed=seed,
-            maxDepth=config.tree_depth, maxIter=config.tree_rounds, maxBins=config.tree_bins,
-            subsamplingRate=config.subsampling,
-        )
-    elif trainer == "xgboost":
-        from xgboost.spark import SparkXGBClassifier
-
-        estimator = SparkXGBClassifier(
-            features_col="features", label_col="label", tree_method="hist",
-            scale_pos_weight=float(pos_weight), random_state=seed,
-            max_depth=config.tree_depth, n_estimators=config.tree_rounds,
-            max_bin=config.tree_bins, subsample=config.subsampling,
-        )
-    else:
-        raise ValueError(f"unknown trainer {trainer!r}")
+    texts = [c for c in columns if c in S.CATEGORICAL]
+    empty = reduce(or_, (F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns if c not in texts), F.lit(False))
+    facts = rows.agg(
+        F.count(F.when(empty, 1)).alias("_empty"), *[F.count_distinct(c).alias(c) for c in texts]
+    ).first()
+    if facts["_empty"]:
+        raise ValueError(f"{facts['_empty']} training rows have a feature without a number")
+    estimator = GBTClassifier(
+        featuresCol="features", labelCol="label", weightCol="weight", seed=seed,
+        maxDepth=config.tree_depth, maxIter=config.tree_rounds,
+        maxBins=max([config.tree_bins, *(facts[c] + 1 for c in texts)]), subsamplingRate=config.subsampling,
+    )
     stages = [*feature_pipeline(columns).getStages(), estimator]
     return Pipeline(stages=stages).fit(rows)
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    """Add the probability of a positive, rounded to six digits."""
+def score(model: PipelineModel, df: DataFrame, out: str = "score", digits: int | None = None) -> DataFrame:
+    """Add the probability of a positive; rounded only if ``digits`` are given."""
     added = [c for c in model.transform(df.limit(0)).columns if c not in df.columns]
     probability = vector_to_array("probability")[1]
-    return model.transform(df).withColumn(out, F.round(probability, 6)).drop(*added)
+    if digits is not None:
+        probability = F.round(probability, digits)
+    return model.transform(df).withColumn(out, probability).drop(*added)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -146,12 +146,22 @@ def seed_summary(results: DataFrame, value: str = "pr_auc") -> DataFrame:
     )
 
 
-def what_if(model: PipelineModel, df: DataFrame, overrides: Mapping[str, Column]) -> DataFrame:
-    """Score rows with some features replaced, next to their unchanged score."""
+def what_if(
+    model: PipelineModel, df: DataFrame, overrides: Mapping[str, Column], stored: DataFrame | None = None,
+) -> DataFrame:
+    """Score rows with some features replaced, next to their unchanged score.
+
+    ``stored`` holds the batch scores (txn_id, score) of the same rows; if the scores
+    of now differ from them, nothing is returned but an error.
+    """
     unknown = set(overrides) - set(df.columns)
     if unknown:
         raise ValueError(f"unknown features: {sorted(unknown)}")
     before = score(model, df, "score_before")
+    if stored is not None:
+        now = before.select("txn_id", F.col("score_before").alias("score"))
+        if not parity(now, stored).isEmpty():
+            raise ValueError("the model does not give the stored scores")
     changed = before.withColumns(dict(overrides))
     return score(model, changed, "score_after").withColumn(
         "change", F.col("score_after") - F.col("score_before")

@@ -42,7 +42,7 @@ def run_data(spark: SparkSession, txn: DataFrame, out: str, config: Config = Con
     split.fit_amount_stats(stored, bounds).write.mode("overwrite").parquet(f"{out}/amount_stats")
     tables.export_results({
         "schema_report": quality.validate_schema(txn),
-        "profile": quality.profile(stored, S.SOURCE_COLUMNS, exact=False),
+        "profile": quality.profile(stored, S.SOURCE_COLUMNS),
         "duplicate_audit": quality.duplicate_audit(stored),
         "id_consistency": quality.id_consistency(txn, nodes, {"transactions_clean": stored}),
         "dataset_summary": quality.dataset_summary(stored),
