@@ -21,7 +21,8 @@ def main() -> None:
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc"])
     parser.add_argument("--without-ids", action="store_true", help="the source has the eleven original columns only")
     args = parser.parse_args()
-    spark = SparkSession.builder.appName("txnrisk-data").getOrCreate()
+    spark = SparkSession.builder.appName("txnrisk-data").config(
+        "spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     if args.without_ids:
         txn = tables.with_ids(tables.read_transactions(spark, args.input, args.format, tables.source_schema()))
     else:

@@ -16,7 +16,8 @@ def main() -> None:
     parser.add_argument("--out", required=True, help="folder of the stage tables")
     parser.add_argument("--config", help="YAML or JSON file with settings")
     args = parser.parse_args()
-    spark = SparkSession.builder.appName("txnrisk-features").getOrCreate()
+    spark = SparkSession.builder.appName("txnrisk-features").config(
+        "spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     jobs.run_features(spark, args.out)
 
 

@@ -186,3 +186,34 @@ def test_salted_joins_change_nothing(spark, hot):
         assert got[i].g_pair_seen_before == int(prior > 0)
         assert round(2.718281828459045 ** got[i].g_pair_prior_count_log) - 1 == prior
         assert got[i].g_reverse_pair_seen == int(back > 0)
+
+
+@pytest.fixture
+def no_aqe(spark, hot):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def most_in_a_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_hot_keys_without_a_partner_are_spread(spark, no_aqe):
+    day = dt.date(2024, 1, 5)
+    rows = [(i, 1, 1, day) for i in range(1500)] + [(2000 + i, 1, 2, day) for i in range(500)]
+    txn = spark.createDataFrame(rows, "txn_id long, src long, dst long, txn_date date").repartition(8)
+    pair = graph.pair_history(txn, graph.build_edges(txn))
+    assert pair.count() == 2000 and most_in_a_task(pair) < 500
+    # a star that merged before and not on the day asked for
+    early = spark.createDataFrame(
+        [(0, i, dt.date(2024, 1, 1), 1) for i in range(1, 60)] + [(500, 501, dt.date(2024, 1, 4), 1)],
+        "src long, dst long, first_date date, n_txn long",
+    )
+    asked = spark.createDataFrame([(i, day) for i in range(60)] * 5, "node_id long, feature_date date")
+    sizes = components.wcc(early, asked, day, max_rows=100)
+    assert {r.wcc_size for r in sizes.collect()} == {60} and most_in_a_task(sizes) < 150

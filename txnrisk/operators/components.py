@@ -179,8 +179,10 @@ def wcc(
                 "node_id", "feature_date", "day",
                 F.coalesce("comp", "node_id").alias("label"), F.coalesce("size", F.lit(0)).alias("own"),
             )
-        sizes = block.merged.select("day", "label", "base", "size")
-        part = salted_join(rows, sizes, ["day", "label"], "node_id", "base").select(
+        # counted from the rows, so that a giant that does not merge on a day is split as well
+        rows = checkpoint(rows)
+        sizes = counted_keys(rows, block.merged.select("day", "label", "size"), ["day", "label"], "_w")
+        part = salted_join(rows, sizes, ["day", "label"], "node_id", "_w").select(
             "node_id", "feature_date", F.coalesce("size", "own").alias("wcc_size")
         )
         result = part if result is None else result.unionByName(part)

@@ -95,7 +95,8 @@ def pair_history(txn: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph_pair_txn``: the three pair features, one row per transaction.
 
     Work happens per (pair, day): the reverse direction is looked up there, before
-    the result is joined to the transactions. Self-loops have no pair and get 0.
+    the result is joined to the transactions. Self-loops have no pair and get 0; they
+    stay out of the join, so that one busy account does not fill a task with them.
     """
     reverse = edges.select(
         F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("first_date").alias("_reverse")
@@ -108,13 +109,18 @@ def pair_history(txn: DataFrame, edges: DataFrame) -> DataFrame:
         .drop("_reverse")
     )
     keys = txn.select("txn_id", "src", "dst", "txn_date")
-    joined = salted_join(keys, days, ["src", "dst", "txn_date"], "txn_id", "n_today")
-    return joined.select(
+    alone = keys.where(~F.coalesce(F.col("src") != F.col("dst"), F.lit(False)))
+    joined = salted_join(topology(keys), days, ["src", "dst", "txn_date"], "txn_id", "n_today")
+    paired = joined.select(
         "txn_id",
         F.coalesce((F.col("n_prior") > 0).cast("int"), F.lit(0)).alias("g_pair_seen_before"),
         F.coalesce(F.log1p("n_prior"), F.lit(0.0)).alias("g_pair_prior_count_log"),
         F.coalesce("_reverse_seen", F.lit(0)).alias("g_reverse_pair_seen"),
     )
+    return paired.unionByName(alone.select(
+        "txn_id", F.lit(0).alias("g_pair_seen_before"), F.lit(0.0).alias("g_pair_prior_count_log"),
+        F.lit(0).alias("g_reverse_pair_seen"),
+    ))
 
 
 def active_days(txn: DataFrame) -> DataFrame:

@@ -179,9 +179,8 @@ def suspicious_subgraph(edges: DataFrame, flagged: DataFrame, hops: int = 1) ->
         # dates per frontier node as an array (at most one entry per calendar day),
         # so that the frontier has one row per key and a hub's edges can be split
         dates = frontier.groupBy("node_id").agg(F.collect_set("feature_date").alias("dates"))
-        degree = counted_keys(
-            ends.join(dates.select("node_id"), "node_id", "left_semi"), dates, ["node_id"], "_w"
-        )
+        # degrees first: the join then has one row per node on both sides
+        degree = ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("_w")).join(dates, "node_id")
         step = (
             salted_join(ends, degree, ["node_id"], ["src", "dst"], "_w", "inner")
             .withColumn("feature_date", F.explode("dates"))
