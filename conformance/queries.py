@@ -414,6 +414,44 @@ def what_if(s):
     ).select("txn_id", "score_before", "score_after", "change")
 
 
+# One round of depth one over one binary feature has a closed form: a leaf is the
+# weighted mean of 2y - 1 of its side, the score 1 / (1 + exp(-2 leaf)), and the SHAP
+# value the leaf less the weighted mean of both.
+_STUMP = "g_pair_seen_before"
+_STUMP_SQL = f"""(SELECT x, leaf, 1 / (1 + exp(-2::DOUBLE * leaf)) AS score, (sum(leaf * w) OVER ()) / (sum(w) OVER ()) AS base FROM (
+ SELECT x, sum(w) AS w, sum(w * (2 * y - 1)) / sum(w) AS leaf FROM (
+  SELECT {_STUMP} AS x, is_laundering AS y, CASE WHEN is_laundering = 1
+   THEN (count(*) FILTER (is_laundering = 0) OVER ())::DOUBLE / (count(*) FILTER (is_laundering = 1) OVER ()) ELSE 1::DOUBLE END AS w
+  FROM matrix WHERE period = 'train') GROUP BY x))"""
+
+
+def _stump(s):
+    if not hasattr(s, "_one_stump"):
+        config = dataclasses.replace(s.config, tree_rounds=1, tree_depth=1, subsampling=1.0)
+        s._one_stump = model.train(s.matrix, [_STUMP], 42, s.pos_weight, config)
+    return s._one_stump
+
+
+@query(sql("SELECT txn_id, period, " + r("score", "score") + f" FROM matrix JOIN {_STUMP_SQL} t ON t.x = matrix.{_STUMP}", "matrix"))
+def stump_scores(s):
+    return model.score(_stump(s), s.matrix).select("txn_id", "period", *rounded("score"))
+
+
+@query(sql("SELECT txn_id, " + r("leaf - base", "phi") + f" FROM matrix JOIN {_STUMP_SQL} t ON t.x = matrix.{_STUMP}", "matrix"))
+def stump_shap(s):
+    shap = explain.shap_values(_stump(s), s.matrix)
+    return explain.shap_long(shap, [_STUMP]).select("txn_id", *rounded("phi"))
+
+
+@query(sql("SELECT txn_id, " + r("t.score", "score_before") + ", " + r("u.score", "score_after") + ", " + r("u.score - t.score", "change")
+           + f" FROM matrix JOIN {_STUMP_SQL} t ON t.x = matrix.{_STUMP} JOIN {_STUMP_SQL} u ON u.x = 1 WHERE period = 'test'", "matrix"))
+def stump_what_if(s):
+    test = s.matrix.where("period = 'test'")
+    stored = model.score(_stump(s), test).select("txn_id", "score")
+    found = model.what_if(_stump(s), test, {_STUMP: F.lit(1)}, stored)
+    return found.select("txn_id", *rounded("score_before", "score_after", "change"))
+
+
 @query()
 def model_importance(s):
     """Grouped permutation importance of the fitted model on the test period."""
