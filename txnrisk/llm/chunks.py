@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once within a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Fixed value: how byte-level BPE files split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that may start a new piece: the tokenizers' white space is a subset of Python's.
@@ -51,7 +51,9 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     """The concatenation of ``data[s:s+n]`` over all (start, length)."""
     total = int(length.sum())
     before = np.cumsum(length) - length
-    return data[np.repeat(start - before, length) + np.arange(total)]
+    at = np.repeat(start - before, length)
+    at += np.arange(total)
+    return data[at]
 
 
 class ChunkTable:
@@ -63,7 +65,7 @@ class ChunkTable:
     that A-Z and a-z encode alike.
     """
 
-    def __init__(self, encode: Encode, space: bool, fold: bool = False, limit: int = 1_200_000):
+    def __init__(self, encode: Encode, space: bool, fold: bool = False, limit: int = 500_000):
         self.encode, self.space, self.fold, self.limit = encode, space, fold, limit
         self.clear()
 

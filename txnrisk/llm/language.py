@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.llm import chunks
 from txnrisk.llm.tables import fold, sample, text_rows
 
 UNKNOWN = "und"
@@ -200,11 +201,11 @@ def languages(docs: DataFrame, settings: Settings | None = None, model: Model |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = predict(model, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("letters"), pa.array(names, pa.string()), pa.array(scores)],
-                ["doc_id", "letters", "lang_pred", "score"],
-            )
+            for begin, part in chunks.slices(batch.column("text")):
+                names, scores = predict(model, part.to_pylist())
+                own = [batch.column(c).slice(begin, len(part)) for c in ("doc_id", "letters")]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "letters", "lang_pred", "score"])
 
     rows = text_rows(docs).withColumn("letters", F.col("text").rlike(r"\p{L}"))
     found = rows.mapInArrow(run, "doc_id long, letters boolean, lang_pred string, score double")

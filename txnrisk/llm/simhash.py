@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions.scale import salted_join
-from txnrisk.llm import golay
+from txnrisk.llm import chunks, golay
 from txnrisk.llm.components import components
 from txnrisk.llm.tables import text_rows
 from txnrisk.session import checkpoint
@@ -78,8 +78,10 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = simhashes(batch.column("text").to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            for begin, part in chunks.slices(batch.column("text")):
+                fp = simhashes(part.to_pylist(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(begin, len(part)), pa.array(fp)], ["doc_id", "fp"])
 
     return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
 
