@@ -98,3 +98,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.kept for r in untrusted if r.n_bytes} == {True}
     assert all(r.perplexity == pytest.approx(256) for r in untrusted if r.n_bytes)
     assert quality.quality(no_docs, labels).count() == 0
+
+
+def test_repeated_words_go_and_good_rows_stay(spark):
+    assert quality.repeats(b"") == 0 and quality.repeats(b"The the The the", 0) == 0.75
+    assert quality.repeats(b"a b c a b c a b c", 0) == pytest.approx(6 / 9)
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    words = {r.doc_id: r.text.split() for r in docs.collect()}
+    same = {i for i, w in words.items() if 2 * sum(a == b for a, b in zip(w, w[1:])) > len(w)}
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    assert any(label[i] == 0 for i in same if i in label) and not any(got[i].kept for i in same)
+    usual = [i for i, q in label.items() if q == 1]
+    assert np.mean([got[i].repeated <= got[i].repeat_limit for i in usual]) > 0.99
+    assert np.mean([got[i].kept for i in usual]) > 0.98

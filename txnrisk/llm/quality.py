@@ -13,13 +13,16 @@ at most 65,536 entries and go along as arrays). The logarithms of the probabilit
 go back to the blocks, where every position of every text looks its own up.
 
 A document is kept if its perplexity is at most the quantile that trusted documents
-of its language have that the model was not trained on.
+of its language have that the model was not trained on, and if its words repeat at a
+fixed distance no more than theirs do: five bytes reach over one word, so a word that
+comes again and again is usual to the model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from txnrisk.session import checkpoint
 ORDER = 5
 #: Texts of a block are looked at in parts of about so many bytes.
 PART = 1 << 20
+#: Distances in words at which a text is compared with itself.
+CYCLES = 4
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +74,13 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def repeats(text: bytes, prior_words: int = 16) -> float:
+    """Largest share of words that equal the word 1 to ``CYCLES`` words before, with ``prior_words`` that do not."""
+    words = text.lower().split()
+    equal = max(sum(map(eq, words[k:], words)) for k in range(1, CYCLES + 1))
+    return equal / (len(words) + prior_words)
+
+
 @dataclass
 class Level:
     """One order: ``grams`` (gram, value) and ``contexts`` (context, rest), as logical plans.
@@ -178,7 +190,10 @@ def _unpacked(payload: pa.Scalar) -> pa.Table:
 
 
 def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None, shards: int | None = None) -> DataFrame:
-    """doc_id, lang, n_bytes and perplexity (per byte) of every row; null for an empty or null text."""
+    """doc_id, lang, n_bytes, perplexity (per byte) and repeated (``repeats``) of every row.
+
+    An empty or null text has no perplexity.
+    """
     order = len(levels)
     blocks = blocks or spread(docs.sparkSession, None, 1)
     shards = shards or spread(docs.sparkSession, None, 1)
@@ -243,26 +258,28 @@ def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None
         rank = np.argsort(gram)
         gram, log_p = gram[rank], log_p[rank]
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
-                         "n_bytes": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})]
+                         "n_bytes": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64()),
+                         "repeated": pa.array([], pa.float64())})]
         for payload in texts.column("payload") if len(texts) else ():
             rows = _unpacked(payload)
-            n, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            n, total, repeated = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(len(rows))
             for begin, part in _parts(rows.column("text").combine_chunks()):
                 own, size = grams(part, order)
                 sums = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(gram, own)])])
                 ends = np.cumsum(size)
                 n[begin : begin + len(part)] = size
                 total[begin : begin + len(part)] = sums[ends] - sums[ends - size]
+                repeated[begin : begin + len(part)] = [repeats(t) for t in part]
             mean = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
             out.append(pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang").cast(pa.string()),
-                                 "n_bytes": pa.array(n), "perplexity": mean}))
+                                 "n_bytes": pa.array(n), "perplexity": mean, "repeated": pa.array(repeated)}))
         return pa.concat_tables(out)
 
     wanted = dealt.groupBy("block").applyInArrow(distinct, "block int, shard int, payload binary")
     counts = sharded(levels, shards)
     found = wanted.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(look_up, "block int, shard int, payload binary")
     pair = dealt.groupBy("block").cogroup(found.groupBy("block"))
-    return pair.applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
+    return pair.applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double, repeated double")
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,15 +306,17 @@ def by_language(rows: DataFrame, measured: DataFrame, value: Column, name: str,
 
 def quality(
     docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = 0.995, slack: float = 1.1,
-    prior_bytes: int = 32, least: int = 30, blocks: int | None = None,
+    prior_bytes: int = 32, least: int = 30, repeat_slack: float = 2.0, blocks: int | None = None,
 ) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, judged, threshold and kept of every row of ``docs``.
+    """doc_id, lang, n_bytes, perplexity, judged, threshold, repeated, repeat_limit and kept of every row of ``docs``.
 
     Trusted are the rows whose id has quality 1 in ``labels``. Those whose crc32 of
     the id leaves remainder 1 give the limits, the others train the model. Few bytes
     say little: ``judged`` is the perplexity of the text and ``prior_bytes`` more of
     the median perplexity of its language. A text is kept if that is at most the
-    ``quantile`` of its language times ``slack``.
+    ``quantile`` of its language times ``slack``, and ``repeated`` at most the same
+    quantile of ``repeated`` times ``repeat_slack``. Without ``least`` held-out trusted
+    rows in all there is no ``repeat_limit``: so few do not show how often words repeat.
 
     A language with fewer than ``least`` trusted rows, and a null one, is measured by
     all; without any, every text with a perplexity is kept. A null or empty text has
@@ -314,5 +333,8 @@ def quality(
     judged = checkpoint(typical.withColumn("judged", F.exp(bits / (F.col("n_bytes") + prior_bytes))).drop("typical"))
     high = F.percentile_approx("judged", quantile, 10_000) * slack
     limited = by_language(judged, trusted(judged, labels).where(usable), high, "threshold", least, float("inf"))
-    kept = F.coalesce(F.col("judged") <= F.col("threshold"), F.lit(False))
-    return limited.select("doc_id", "lang", "n_bytes", "perplexity", "judged", "threshold", kept.alias("kept"))
+    often = F.when(F.count(F.lit(1)) >= least, F.percentile_approx("repeated", quantile, 10_000) * repeat_slack)
+    limited = by_language(limited, trusted(judged, labels).where(usable), often, "repeat_limit", least, float("inf"))
+    usual = (F.col("judged") <= F.col("threshold")) & (F.col("repeated") <= F.col("repeat_limit"))
+    return limited.select("doc_id", "lang", "n_bytes", "perplexity", "judged", "threshold", "repeated", "repeat_limit",
+                          F.coalesce(usual, F.lit(False)).alias("kept"))
