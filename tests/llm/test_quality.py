@@ -113,3 +113,23 @@ def test_repeated_words_go_and_good_rows_stay(spark):
     usual = [i for i, q in label.items() if q == 1]
     assert np.mean([got[i].repeated <= got[i].repeat_limit for i in usual]) > 0.99
     assert np.mean([got[i].kept for i in usual]) > 0.98
+
+
+def test_blocks_follow_the_bytes_and_repeated_ids_are_spread(spark, monkeypatch):
+    rows = [(7, f"text number {k} " * 20, "en") for k in range(300)] + [(7, "the same row", "en")] * 200 + [(7, None, "en")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    own = spark.createDataFrame([(t,) for _, t, _ in rows if t], "text string")
+    levels = quality.model(quality.gram_counts(own))
+    sizes = []
+    monkeypatch.setattr(quality, "spread", lambda session, n_bytes, target: sizes.append(n_bytes) or max(8, n_bytes // 4000))
+    got = quality.perplexities(docs, levels)
+    assert len(sizes) == 2 and sizes[0] == sum(len(t.encode()) for _, t, _ in rows if t) < sizes[1]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    found = got.withColumn("part", quality.F.spark_partition_id()).collect()
+    spark.conf.set(coalesce, before)
+    assert len(found) == len(rows) and sum(r.perplexity is None for r in found) == 3
+    few = {(r.n_bytes, round(r.perplexity or 0, 4)) for r in quality.perplexities(docs, levels, 1, 1).collect()}
+    assert {(r.n_bytes, round(r.perplexity or 0, 4)) for r in found} == few
+    assert len({r.part for r in found}) > 1

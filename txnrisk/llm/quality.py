@@ -5,7 +5,8 @@ all trusted documents that may be learned from. An n-gram of up to seven bytes i
 long, so counts, continuation counts and contexts are plain grouped tables.
 
 Scoring moves no n-gram per document. Documents are dealt into blocks by a hash of
-their id, compressed on the way; a block gives its distinct n-grams once, packed by
+the row, compressed on the way, equal rows of a slice once; the number of blocks and
+shards follows from the bytes of the input and the entries of the model; a block gives its distinct n-grams once, packed by
 shard. A shard is a group of the two bytes before the last: all counts and contexts
 that an n-gram needs, from three bytes on, lie in its own shard, so one join of
 packed rows with the sharded counts answers for all orders (those of two bytes have
@@ -37,6 +38,8 @@ from txnrisk.session import checkpoint
 ORDER = 5
 #: Texts of a block are looked at in parts of about so many bytes.
 PART = 1 << 20
+#: Bytes of text in a block, and of n-grams in a shard, about.
+BLOCK, SHARD = 32 << 20, 512 << 20
 #: Distances in words at which a text is compared with itself.
 CYCLES = 4
 
@@ -195,8 +198,12 @@ def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None
     An empty or null text has no perplexity.
     """
     order = len(levels)
-    blocks = blocks or spread(docs.sparkSession, None, 1)
-    shards = shards or spread(docs.sparkSession, None, 1)
+    if not (blocks and shards):
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        entries = sum(level.grams.count() + level.contexts.count() for level in levels)
+        blocks = blocks or spread(docs.sparkSession, n_bytes, BLOCK)
+        # a shard holds its part of the model and at most one n-gram per byte of text
+        shards = shards or min(1 << 16, spread(docs.sparkSession, 20 * entries + 8 * n_bytes, SHARD))
     low = [_dense(level, k) for k, level in enumerate(levels[:2], start=1)]
     shard_of = np.arange(1 << 16) * 40_503 % shards
 
@@ -204,16 +211,19 @@ def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None
         for batch in batches:
             for begin, part in chunks.slices(batch.column("text")):
                 rows = batch.slice(begin, len(part))
-                block = rows.column("block").to_numpy()
+                # equal rows of a slice go once, with their number
+                key, at, copies = np.unique(rows.column("hash").to_numpy(), return_index=True, return_counts=True)
+                block = (key % blocks).astype(np.int32)
                 rank = np.argsort(block, kind="stable")
-                table = pa.Table.from_batches([rows.drop_columns(["block"])]).take(pa.array(rank))
+                table = pa.Table.from_batches([rows.drop_columns(["hash"])]).take(pa.array(at[rank]))
+                table = table.append_column("copies", pa.array(copies[rank], pa.int64()))
                 starts = np.flatnonzero(np.diff(block[rank], prepend=-1))
                 payload = [_packed(table.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(rank)])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block[rank][starts]), pa.array(payload, pa.binary())], ["block", "payload"])
 
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block")
-    dealt = docs.select(block, "doc_id", "lang", "text").mapInArrow(deal, "block int, payload binary")
+    key = F.xxhash64("doc_id", "lang", "text", F.col("text").isNull()).alias("hash")
+    dealt = docs.select(key, "doc_id", "lang", "text").mapInArrow(deal, "block int, payload binary")
 
     def of_block(table: pa.Table) -> np.ndarray:
         """The distinct n-grams of a block, by shard and in order within it."""
@@ -259,7 +269,7 @@ def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None
         gram, log_p = gram[rank], log_p[rank]
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
                          "n_bytes": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64()),
-                         "repeated": pa.array([], pa.float64())})]
+                         "repeated": pa.array([], pa.float64()), "copies": pa.array([], pa.int64())})]
         for payload in texts.column("payload") if len(texts) else ():
             rows = _unpacked(payload)
             n, total, repeated = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(len(rows))
@@ -272,14 +282,16 @@ def perplexities(docs: DataFrame, levels: list[Level], blocks: int | None = None
                 repeated[begin : begin + len(part)] = [repeats(t) for t in part]
             mean = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
             out.append(pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang").cast(pa.string()),
-                                 "n_bytes": pa.array(n), "perplexity": mean, "repeated": pa.array(repeated)}))
+                                 "n_bytes": pa.array(n), "perplexity": mean, "repeated": pa.array(repeated),
+                                 "copies": rows.column("copies")}))
         return pa.concat_tables(out)
 
     wanted = dealt.groupBy("block").applyInArrow(distinct, "block int, shard int, payload binary")
     counts = sharded(levels, shards)
     found = wanted.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(look_up, "block int, shard int, payload binary")
     pair = dealt.groupBy("block").cogroup(found.groupBy("block"))
-    return pair.applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double, repeated double")
+    scored = pair.applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double, repeated double, copies long")
+    return scored.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
