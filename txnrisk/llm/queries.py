@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txnrisk.llm import (
-    bpe, language, packing, quality, rans, sampling, simhash, token_counts, toxicity, vectors,
+    bpe, language, leaks, packing, quality, rans, sampling, simhash, token_counts, toxicity, vectors,
 )
 from txnrisk.llm.tables import read
 
@@ -72,10 +73,51 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.store_and_read(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside passages of the benchmark, and the items they come from."""
+    found = leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+BENCHMARK_LEAKS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(
+    range(1, greatest(1, len(w) - 9) + 1), lambda k: array_to_string(w[k : k + least(len(w), 10) - 1], ' '))) AS key
+  FROM i WHERE len(w) > 0),
+widths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS k,
+    unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' '))) AS key
+  FROM d, widths WHERE len(w) >= n),
+found AS (SELECT r, k, places.n, item FROM places JOIN windows ON places.key = windows.key AND places.n = windows.n),
+hits AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS at FROM (SELECT DISTINCT r, k, n FROM found))
+  GROUP BY r),
+names AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items
+  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_token_counts, op3_packing, op4_near_vectors, op5_toxicity, op6_fingerprints, op7_simhash,
-        op8_language, op9_bpe, op10_token_ids,
+        op8_language, op9_bpe, op10_token_ids, op13_benchmark_leaks,
     )
 }
-ORACLES: dict[str, str] = {"op4_near_vectors": NEAR_VECTORS_SQL}
+ORACLES: dict[str, str] = {
+    "op4_near_vectors": NEAR_VECTORS_SQL, "op13_benchmark_leaks": BENCHMARK_LEAKS_SQL,
+}
