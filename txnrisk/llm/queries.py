@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.llm import (
-    bpe, language, leaks, packing, quality, rans, sampling, simhash, token_counts, toxicity, vectors,
+    bpe, divergence, language, leaks, packing, quality, rans, sampling, simhash, token_counts, toxicity, vectors,
 )
 from txnrisk.llm.tables import read
 
@@ -73,6 +73,45 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.store_and_read(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and the terms that mark each source."""
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+SOURCE_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+every AS (
+  SELECT g.lang, g.source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT lang, source, sum(n) AS total FROM every GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p
+  FROM every JOIN sums USING (lang, source) JOIN sizes USING (lang)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(whole) + 5 * any_value(v)) AS q
+  FROM every JOIN sizes USING (lang) JOIN (SELECT lang, sum(total) AS whole FROM sums GROUP BY lang) USING (lang)
+  GROUP BY lang, term),
+differ AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN differ ON differ.lang = a.lang AND differ.source = a.source AND differ.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside passages of the benchmark, and the items they come from."""
     found = leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -115,9 +154,10 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_token_counts, op3_packing, op4_near_vectors, op5_toxicity, op6_fingerprints, op7_simhash,
-        op8_language, op9_bpe, op10_token_ids, op13_benchmark_leaks,
+        op8_language, op9_bpe, op10_token_ids, op11_source_divergence, op13_benchmark_leaks,
     )
 }
 ORACLES: dict[str, str] = {
-    "op4_near_vectors": NEAR_VECTORS_SQL, "op13_benchmark_leaks": BENCHMARK_LEAKS_SQL,
+    "op4_near_vectors": NEAR_VECTORS_SQL, "op11_source_divergence": SOURCE_DIVERGENCE_SQL,
+    "op13_benchmark_leaks": BENCHMARK_LEAKS_SQL,
 }
