@@ -143,14 +143,18 @@ def safe_pieces(text: str, limit: int) -> list[str]:
     return [*pieces, text[begin:]]
 
 
-def library_encoder(path: str) -> Encode:
-    """Encoding by the tokenizers library, in the task's own thread."""
+def library_encoder(path: str, specials: bool = True) -> Encode:
+    """Encoding by the tokenizers library, in the task's own thread.
+
+    Without ``specials`` the strings of special tokens are plain text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    tokenizer.encode_special_tokens = not specials
 
     def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, lengths = [], np.zeros(len(texts), np.int64)
@@ -196,7 +200,7 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def byte_encoder(path: str) -> Encode:
+def byte_encoder(path: str, specials: bool = True) -> Encode:
     """As ``library_encoder`` for a byte-level file, several times as fast on many short chunks.
 
     Chunks that start with a space are joined and encoded in one call of tiktoken
@@ -206,14 +210,14 @@ def byte_encoder(path: str) -> Encode:
     """
     import tiktoken
 
-    library, spec = library_encoder(path), json.loads(Path(path).read_text())
+    library, spec = library_encoder(path, specials), json.loads(Path(path).read_text())
     names = _rank_names(spec, "")
     if names is None:
         return library
     joined_call = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=names, special_tokens={}).encode_to_numpy
     size = np.zeros(max(names.values()) + 1, np.int64)
     size[list(names.values())] = [len(n) for n in names]
-    special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+    special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"] if specials) or r"(?!)")
 
     def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.fromiter((

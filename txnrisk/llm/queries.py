@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.llm import (
-    bpe, divergence, language, leaks, packing, quality, rans, sampling, simhash, token_counts, toxicity, vectors,
+    alignment, bpe, divergence, language, leaks, packing, quality, rans, sampling, simhash, token_counts, toxicity, vectors,
 )
 from txnrisk.llm.tables import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -112,6 +113,11 @@ ranked AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, and how usual the links are."""
+    return alignment.alignment(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside passages of the benchmark, and the items they come from."""
     found = leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -154,7 +160,8 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_token_counts, op3_packing, op4_near_vectors, op5_toxicity, op6_fingerprints, op7_simhash,
-        op8_language, op9_bpe, op10_token_ids, op11_source_divergence, op13_benchmark_leaks,
+        op8_language, op9_bpe, op10_token_ids, op11_source_divergence,
+        op12_token_alignment, op13_benchmark_leaks,
     )
 }
 ORACLES: dict[str, str] = {
