@@ -34,7 +34,7 @@ MIN_DOCS = 30
 EXTRA, UNIT = 5, 1_000_000_000
 TOP = 50
 #: Terms of a shard, about; sources of a tile, about.
-SHARD_TERMS, TILE = 1 << 14, 64
+SHARD_TERMS, TILE = 1 << 11, 64
 #: Bytes of all shards that may travel to every task.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of count arrays, and distinct terms, that a task holds before it passes them on.
@@ -289,9 +289,9 @@ def _counted(texts, group, lang_of, names, loaded) -> Iterator[tuple[int, int, n
         seen, back = np.unique(word[at], return_inverse=True)
         to = np.mod(hashed[seen].view(np.int64), len(own))
         found = np.full(len(seen), -1, np.int64)
-        for p, shard in enumerate(own):
-            here = np.flatnonzero(to == p)
-            if shard is not None and len(here):
+        order = np.argsort(to, kind="stable")
+        for here in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            if (shard := own[to[here[0]]]) is not None:
                 found[here] = shard.slots(distinct.take(pa.array(seen[here])), hashed[seen[here]])
         part[at], slot[at] = to[back], found[back]
     kept = np.flatnonzero(slot >= 0)
