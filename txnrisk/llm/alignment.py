@@ -38,16 +38,18 @@ from txnrisk.session import checkpoint
 #: Distinct pairs of ids that may travel to every task (12 bytes and a mark each).
 BROADCAST_PAIRS = 4_000_000
 #: Distinct chunks a worker remembers, and distinct pairs a task counts before it passes them on.
-LIMIT, HELD_PAIRS = 300_000, 1 << 20
-#: A space that starts a chunk: alone, and with something behind it.
-CUT = re.compile(r"(?<! ) (?=\S)")
+LIMIT, HELD_PAIRS = 200_000, 1 << 20
+#: A space between chunks: alone, and with something behind it.
+CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+#: Bytes of text handled at once: a slice of odd text holds its chunks several times over.
+SLICE = 1 << 20
 #: Fixed value: the sign that stands for a space in pieces.
 SPACE = "▁"
 
 
 @dataclass
 class Side:
-    """One tokenizer: ids of chunks that start with a space, and the bytes of its tokens."""
+    """One tokenizer: ids of chunks that stand behind a space, and the bytes of its tokens."""
 
     encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
     start: np.ndarray  # of each token in data
@@ -68,7 +70,8 @@ def byte_level(path: str) -> Side:
     spec = json.loads(Path(path).read_text())
     byte = {c: b for b, c in enumerate(chunks.byte_letters())}
     names = {i: bytes(byte[c] for c in n) for n, i in spec["model"]["vocab"].items() if all(c in byte for c in n)}
-    return Side.of(chunks.byte_encoder(path, specials=False), [names.get(i, b"") for i in range(max(names) + 1)])
+    encode = chunks.byte_encoder(path, specials=False)
+    return Side.of(lambda texts: encode([" " + t for t in texts]), [names.get(i, b"") for i in range(max(names) + 1)])
 
 
 def pieces(path: str) -> Side:
@@ -82,7 +85,7 @@ def pieces(path: str) -> Side:
         names.append(bytes([int(name[3:-1], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode())
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [model.encode(t[1:], num_threads=1) for t in texts]
+        ids = [model.encode(t, num_threads=1) for t in texts]
         return np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
     return Side.of(encode, names)
@@ -122,8 +125,8 @@ class Aligner:
         self.pairs, self.first, self.number = chunks.Pool(np.int64), chunks.Pool(np.int64), chunks.Pool(np.int64)
 
     def learn(self, new: list[str]) -> None:
-        """Encode and align chunks (each starts with a space)."""
-        raw = [c.encode() for c in new]
+        """Encode and align a space and the chunk, for each chunk."""
+        raw = [b" " + c.encode() for c in new]
         size = np.array([len(r) for r in raw], np.int64)
         every = np.frombuffer(b"".join(raw), np.uint8)
         base = np.cumsum(size) - size
@@ -172,7 +175,7 @@ class Aligner:
         """Slots of the chunks of all texts, and chunks per text. An empty text has none."""
         if len(self.text) > self.limit:
             self.clear()
-        parts = [_cut(t) for t in texts]
+        parts = [CUT.split(t) if t else [] for t in texts]
         flat = [c for p in parts for c in p]
         known = self.slots
         new = [c for c in dict.fromkeys(flat) if c not in known]
@@ -182,14 +185,6 @@ class Aligner:
         return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def _cut(text: str) -> list[str]:
-    if not text:
-        return []
-    text = " " + text
-    cuts = [0, *(m.start() for m in CUT.finditer(text, 1)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
 def _group_texts(a, a_group, b, b_group, n_groups, good) -> list[str | None]:
     """``a1,a2|b1;a3|b2`` of each chunk; groups are numbered through all good chunks."""
     def joined(ids, group) -> list[str]:
@@ -229,7 +224,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for begin, part in chunks.slices(batch.column("text")):
+            for begin, part in chunks.slices(batch.column("text"), min(SLICE, chunks.SLICE_BYTES)):
                 slots, counts = own.chunk_slots(part.to_pylist())
                 stops = np.cumsum(counts)
                 names = list(map(own.text.__getitem__, slots.tolist()))
