@@ -84,9 +84,27 @@ def pieces(path: str) -> Side:
         name = model.id_to_piece(i)
         names.append(bytes([int(name[3:-1], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode())
 
+    size = np.array([len(n) for n in names], np.int64)
+
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [model.encode(t, num_threads=1) for t in texts]
-        return np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        """Chunks that may stand behind each other, a space between, are encoded in one call, and cut by bytes."""
+        plain = np.fromiter((t[:1] != " " and t[-1:] != " " and SPACE not in t for t in texts), bool, len(texts))
+        easy, hard = [t for t, p in zip(texts, plain) if p], [t for t, p in zip(texts, plain) if not p]
+        flat, counts = [], []
+        for at in range(0, len(easy), 4096):
+            part = easy[at : at + 4096]
+            ids = np.array(model.encode(" ".join(part), num_threads=1), np.int64)
+            ends = np.cumsum([1 + (len(t) if t.isascii() else len(t.encode())) for t in part])
+            counts.append(np.diff(np.searchsorted(np.cumsum(size[ids]), ends, side="right"), prepend=0))
+            flat.append(ids)
+        own = model.encode(hard, num_threads=1) if hard else []
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[plain] = np.concatenate(counts) if counts else 0
+        lengths[~plain] = list(map(len, own))
+        all_ids = np.concatenate([*flat, *[np.array(x, np.int64) for x in own], np.zeros(0, np.int64)])
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        sizes = np.concatenate([lengths[plain], lengths[~plain]])
+        return chunks.gather(all_ids, (np.cumsum(sizes) - sizes)[order], sizes[order]), lengths
 
     return Side.of(encode, names)
 
@@ -120,7 +138,8 @@ class Aligner:
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.text: list[str | None] = []  # groups; None if a side has other bytes
+        self.text: list[bytes] = []  # groups, each ended by a semicolon
+        self.good = chunks.Pool(bool)  # both sides have the bytes of the chunk
         self.facts = chunks.Pool(np.int64)  # n_a, n_b, n_groups per chunk
         self.pairs, self.first, self.number = chunks.Pool(np.int64), chunks.Pool(np.int64), chunks.Pool(np.int64)
 
@@ -169,7 +188,8 @@ class Aligner:
         n_groups = np.bincount(np.concatenate([a_of, b_of])[order[begins]], minlength=n)
         facts = np.stack([np.bincount(a_of, minlength=n), np.bincount(b_of, minlength=n), n_groups], 1)
         self.facts.add(facts.reshape(-1))
-        self.text += _group_texts(a, group[: len(a)], b, group[len(a) :], n_groups, good)
+        self.good.add(good)
+        self.text += _group_texts(a, group[: len(a)], b, group[len(a) :], n_groups)
 
     def chunk_slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the chunks of all texts, and chunks per text. An empty text has none."""
@@ -185,16 +205,35 @@ class Aligner:
         return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def _group_texts(a, a_group, b, b_group, n_groups, good) -> list[str | None]:
-    """``a1,a2|b1;a3|b2`` of each chunk; groups are numbered through all good chunks."""
-    def joined(ids, group) -> list[str]:
-        words = list(map(str, ids.tolist()))
-        ends = np.searchsorted(group, np.arange(int(n_groups.sum()) + 1)).tolist()
-        return [words[s] if e == s + 1 else ",".join(words[s:e]) for s, e in zip(ends, ends[1:])]
+def _group_texts(a, a_group, b, b_group, n_groups) -> list[bytes]:
+    """``a1,a2|b1;a3|b2;`` of each chunk, as bytes; groups are numbered through all chunks.
 
-    groups = [f"{x}|{y}" for x, y in zip(joined(a, a_group), joined(b, b_group))]
-    ends = [0, *np.cumsum(n_groups).tolist()]
-    return [";".join(groups[s:e]) if g else None for s, e, g in zip(ends, ends[1:], good.tolist())]
+    A token is its decimal id and a sign: a comma before one of its own side and
+    group, a bar before B tokens, a semicolon at the end of the group.
+    """
+    ids, group = np.concatenate([a, b]), np.concatenate([a_group, b_group])
+    side = np.repeat([0, 1], [len(a), len(b)])
+    order = np.lexsort((side, group))
+    ids, group, side = ids[order], group[order], side[order]
+    sign = np.full(len(ids), ord(";"), np.uint8)
+    same = group[1:] == group[:-1]
+    sign[:-1][same] = np.where(side[1:] != side[:-1], ord("|"), ord(","))[same]
+    digits = np.ones(len(ids), np.int64)
+    for k in range(1, 19):
+        digits += ids >= 10**k
+    ends = np.cumsum(digits + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - 1] = sign
+    rest, at, open_ = ids.copy(), ends - 2, np.arange(len(ids))
+    while open_.size:
+        out[at[open_]] = rest[open_] % 10 + ord("0")
+        rest[open_] //= 10
+        at[open_] -= 1
+        open_ = open_[rest[open_] > 0]
+    last = np.searchsorted(group, np.cumsum(n_groups))  # tokens up to the end of each chunk
+    stops = np.concatenate([[0], ends])[last].tolist()
+    raw = out.tobytes()
+    return [raw[s:e] for s, e in zip([0, *stops], stops)]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -227,13 +266,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
             for begin, part in chunks.slices(batch.column("text"), min(SLICE, chunks.SLICE_BYTES)):
                 slots, counts = own.chunk_slots(part.to_pylist())
                 stops = np.cumsum(counts)
-                names = list(map(own.text.__getitem__, slots.tolist()))
-                groups, good = [], np.zeros(len(part), bool)
-                for k, (s, e) in enumerate(zip((stops - counts).tolist(), stops.tolist())):
-                    mine = names[s:e]
-                    good[k] = s < e and None not in mine
-                    groups.append(";".join(mine) if good[k] else "")
                 of = np.repeat(np.arange(len(part)), counts)
+                good = counts > 0
+                good[of[~own.good.data[slots]]] = False
+                names = list(map(own.text.__getitem__, slots.tolist()))
+                groups = [b"".join(names[s:e])[:-1] if g else b"" for s, e, g in zip(
+                    (stops - counts).tolist(), stops.tolist(), good.tolist())]
                 kept = good[of]
                 slots, of = slots[kept], of[kept]
                 facts = own.facts.data[: own.facts.size].reshape(-1, 3)[slots]
@@ -244,12 +282,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
                 columns = [
                     pa.array(number + np.arange(len(part))), batch.column("doc_id").slice(begin, len(part)),
                     *map(pa.array, sums), pa.array(n_links),
-                    pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]),
+                    pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups]),
                     pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(links.tobytes())]),
                 ]
                 number += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(groups)] if keep_groups else columns,
+                    [*columns, pa.array([g.decode() for g in groups])] if keep_groups else columns,
                     [f.split()[0] for f in schema.split(", ")])
 
     return text_rows(docs).mapInArrow(run, schema)
