@@ -4,8 +4,8 @@ import math
 import zlib
 
 import corpus_pipeline
+from tests.llm.test_near_text import plain_survivors
 from tests.llm.test_quality import Plain
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_tokens import check_packing, library_ids
 from txnrisk.llm import language
 from txnrisk.llm.queries import BYTE_BPE
@@ -17,6 +17,12 @@ def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def share_repeated(text):
+    """Largest share of words equal to the word 1 to 4 before, 16 words more counted."""
+    words = text.encode().lower().split()
+    return max(sum(words[k] == words[k - c] for k in range(c, len(words))) for c in range(1, 5)) / (len(words) + 16)
+
+
 def plain_quality(rows, good):
     """Ids that stay: {id: (text, lang)} and the trusted ids."""
     model = Plain([rows[i][0] for i in rows if i in good and not held_out(i)], 5)
@@ -32,8 +38,10 @@ def plain_quality(rows, good):
     for i, v in ppl.items():
         n = len(rows[i][0].encode())
         judged[i] = math.exp((n * math.log(v) + 32 * math.log(quantile(ppl, 0.5, rows[i][1]))) / (n + 32))
+    often = {i: share_repeated(t) for i, (t, _) in rows.items() if t}
+    often_limit = {lang: 2 * quantile(often, 0.995, lang) if len(measured) >= 30 else math.inf for _, lang in rows.values()}
     limit = {lang: 1.1 * quantile(judged, 0.995, lang) for _, lang in rows.values()}
-    return {i for i, v in judged.items() if v <= limit[rows[i][1]] * (1 + 1e-7)}
+    return {i for i, v in judged.items() if v <= limit[rows[i][1]] * (1 + 1e-7) and often[i] <= often_limit[rows[i][1]]}
 
 
 def test_stages(spark):
@@ -57,11 +65,11 @@ def test_stages(spark):
     assert got.columns == corpus_pipeline.COLUMNS and {r.doc_id for r in got.collect()} == want
 
     after = docs.where(docs.doc_id.isin(list(want)))
-    roots = plain_components({i: plain_fingerprint(rows[i][0]) for i in want}, 4)
+    survivors = plain_survivors({i: rows[i][0] for i in want})
     got = stages["near_dedup"](spark, after, SF)
     assert got.columns == corpus_pipeline.COLUMNS
     first = {r.doc_id: r.text for r in got.collect()}
-    assert set(first) == set(roots.values()) and all(first[i] == rows[i][0] for i in first)
+    assert set(first) == survivors and all(first[i] == rows[i][0] for i in first)
 
     ids = {i: library_ids(BYTE_BPE, [t])[0] for i, t in first.items()}
     packed = stages["packing"](spark, docs.where(docs.doc_id.isin(list(first))), SF).collect()

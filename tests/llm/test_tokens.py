@@ -16,7 +16,7 @@ from txnrisk.llm.queries import BYTE_BPE, WORD_BPE
 
 def odd_texts(n=1500):
     rng = random.Random(7)
-    pieces = list(" \n\ta.b'sé<|1　\x1cΣ") + ["the", "<|endoftext|>", "'ll", "ing"]
+    pieces = list(" \n\ta.b'sé<|1　\x1cΣ") + ["the", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "'ll", "ing", "Q"]
     made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(50))) for _ in range(n)]
     return [t or "" for t in TEXTS] + made
 
@@ -178,3 +178,25 @@ def test_files_hold_all_ids_in_order(spark, odd_docs, no_docs, segment, monkeypa
         assert rows[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert rans.store_and_read(no_docs, WORD_BPE).count() == 0
+
+
+def test_null_repeated_and_large_ids(spark):
+    """Every row is a document of its own, whatever its id; ids above 2^53 come back as they are."""
+    large = (1 << 60) + 1
+    rows = [(None, "no id"), (None, "no id"), (large, "one two"), (large, "one two"), (7, None)]
+    docs = spark.createDataFrame([(*r, 1, "x", "h") for r in rows],
+                                 "doc_id long, text string, n int, digest string, hash string").coalesce(1)
+    byte, word = ([len(x) for x in library_ids(p, [t or "" for _, t in rows])] for p in (BYTE_BPE, WORD_BPE))
+
+    def found(df, column):
+        return sorted((r.doc_id or 0, r[column]) for r in df.collect())
+
+    def expected(counts):
+        return sorted((i or 0, n) for (i, _), n in zip(rows, counts))
+
+    assert found(token_counts.token_counts(docs, BYTE_BPE), "n_tokens") == expected(byte)
+    assert found(bpe.round_trip(docs, BYTE_BPE), "n_tokens") == expected(byte)
+    assert found(packing.pack_documents(docs, BYTE_BPE), "length") == expected([n + 1 for n in byte])
+    back = rans.store_and_read(docs, WORD_BPE)
+    assert found(back, "n_tokens") == expected([n + 1 for n in word])
+    assert sorted(r.start for r in back.collect())[0] == 0

@@ -62,11 +62,11 @@ class ChunkTable:
     ``encode`` takes strings and returns their ids in one flat array and the number
     of ids of each. With ``space`` a chunk that is not the first of its text is
     encoded with the space before it; without, spaces carry nothing. ``fold`` says
-    that A-Z and a-z encode alike.
+    that A-Z and a-z encode alike, but in texts that match ``special``.
     """
 
-    def __init__(self, encode: Encode, space: bool, fold: bool = False, limit: int = 500_000):
-        self.encode, self.space, self.fold, self.limit = encode, space, fold, limit
+    def __init__(self, encode: Encode, space: bool, fold: bool = False, limit: int = 500_000, special: str = ""):
+        self.encode, self.space, self.fold, self.limit, self.special = encode, space, fold, limit, special
         self.clear()
 
     def clear(self) -> None:
@@ -93,7 +93,9 @@ class ChunkTable:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.fold:
-            texts = pc.ascii_lower(texts)
+            lower = pc.ascii_lower(texts)
+            # the strings of special tokens are found in the text as it is
+            texts = pc.if_else(pc.match_substring_regex(texts, self.special), texts, lower) if self.special else lower
         parts = pc.split_pattern(texts, " ")
         offsets, codes, words = _coded(parts)
         if self.space:
@@ -323,4 +325,6 @@ def byte_level(path: str) -> ChunkTable:
 
 def word_end(path: str) -> ChunkTable:
     """Table for a BPE file that lowers case and drops white space."""
-    return table("word", path, lambda: ChunkTable(word_encoder(path), space=False, fold=True))
+    found = [t["content"] for t in json.loads(Path(path).read_text())["added_tokens"]]
+    special = "(?i)" + "|".join(re.escape(c) for c in found) if found else ""
+    return table("word", path, lambda: ChunkTable(word_encoder(path), space=False, fold=True, special=special))

@@ -50,15 +50,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunks.byte_level(path)
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for begin, part in chunks.slices(batch.column("text")):
-                yield _cut_batch(doc_ids[begin : begin + len(part)], *table.texts(part))
+                yield _cut_batch(batch.column("doc_id").slice(begin, len(part)), *table.texts(part))
 
     def _cut_batch(doc_ids, ids, counts) -> pa.RecordBatch:
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])  # row of the document, then the columns of its piece
         ids, end = memoryview(ids.astype("<u4")).cast("B"), np.array([end_id], "<u4").tobytes()
         at = 0
-        for doc, n in zip(doc_ids.tolist(), counts.tolist()):
+        for doc, n in enumerate(counts.tolist()):
             own = ids[4 * at : 4 * (at + n)]
             at += n
             for k, (s, size) in enumerate(zip(*(x.tolist() for x in cut(n + 1, capacity)))):
@@ -66,8 +65,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
                 crc = zlib.crc32(own[4 * s : 4 * (s + size - last)])
                 for column, v in zip(out, (doc, k, s, size, zlib.crc32(end, crc) if last else crc)):
                     column.append(v)
+        columns = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         return pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+            [doc_ids.take(columns[0]), *columns[1:]],
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 

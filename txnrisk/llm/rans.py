@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, partitio
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, file, segment = chunks.word_end(path), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
-        doc_ids: list[np.ndarray] = []
+        doc_ids: list[pa.Array] = []
         lengths: list[np.ndarray] = []
         size = 0
 
@@ -153,19 +153,18 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, partitio
             ids, table = np.concatenate(held), None
             table = Table.of(ids)
             blocks = [encode_block(ids[at : at + BLOCK], table) for at in range(0, len(ids), BLOCK)]
-            row = [file, segment, len(ids), np.concatenate(doc_ids), np.concatenate(lengths), table.pack(), blocks]
+            row = [file, segment, len(ids), pa.concat_arrays(doc_ids), np.concatenate(lengths), table.pack(), blocks]
             for x in (held, doc_ids, lengths):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for begin, part in chunks.slices(batch.column("text")):
                 ids, counts = words.texts(part)
                 ends = np.cumsum(counts)
                 ids, counts = np.insert(ids, ends, np.uint32(end_id)), counts + 1
                 held.append(ids)
-                doc_ids.append(own[begin : begin + len(part)])
+                doc_ids.append(batch.column("doc_id").slice(begin, len(part)))
                 lengths.append(counts)
                 size += len(ids)
                 if size >= SEGMENT:
@@ -196,7 +195,7 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
                 table = Table.unpack(one["table"].as_py())
                 slots = table.slots()
                 ids = np.concatenate([decode_block(b.as_py(), table, slots) for b in one["blocks"].values])
-                doc_ids, counts = (one[c].values.to_numpy() for c in ("doc_ids", "lengths"))
+                doc_ids, counts = one["doc_ids"].values, one["lengths"].values.to_numpy()
                 if counts.sum() != len(ids):
                     raise ValueError("a segment holds another number of ids than its documents")
                 ends = np.cumsum(counts)
@@ -211,7 +210,7 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
                 if keep_ids:
                     columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(ends - counts, ends)], pa.list_(pa.int64())))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
     sizes = files.select("file", "segment", "n_tokens", F.size("lengths").cast("long").alias("n_docs"))
     # one row per file, then one per segment of a file
