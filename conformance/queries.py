@@ -491,8 +491,9 @@ def pr_curve(s):
     )
 
 
-@query(sql("""SELECT period, model, """ + r("""(sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0::DOUBLE END)) / count(*)""", "roc_auc")
-           + f""" FROM {_BOTH} p JOIN {_BOTH} n USING (period, model) WHERE p.is_laundering = 1 AND n.is_laundering = 0 GROUP BY period, model""", "scored"))
+@query(sql("""SELECT period, model, """ + r("""sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE WHEN p.score < n.score THEN 0::DOUBLE END) / nullif(count(p.score + n.score), 0)""", "roc_auc")
+           + f""" FROM (SELECT DISTINCT period, model FROM {_BOTH}) g LEFT JOIN (SELECT * FROM {_BOTH} WHERE is_laundering = 1) p USING (period, model)
+ LEFT JOIN (SELECT * FROM {_BOTH} WHERE is_laundering = 0) n USING (period, model) GROUP BY period, model""", "scored"))
 def roc_auc(s):
     found = metrics.roc_auc(_long_scores(s, "period"), "score", by=["period", "model"])
     return found.select("period", "model", *rounded("roc_auc"))
@@ -544,7 +545,7 @@ def confusion(s):
 
 
 @query(sql("""SELECT period, budget, count(*) AS n_alerts, sum(is_laundering)::BIGINT AS n_hits, n_positive, """
-           + r("sum(is_laundering)::DOUBLE / n_positive", "recall") + """ FROM (
+           + r("sum(is_laundering)::DOUBLE / nullif(n_positive, 0)", "recall") + """ FROM (
  SELECT period, is_laundering, row_number() OVER (PARTITION BY period ORDER BY m1_score DESC, txn_id) AS rn,
  (ceil(round(count(*) OVER (PARTITION BY period) * 0.01::DOUBLE, 6)))::BIGINT AS budget,
  (sum(is_laundering) OVER (PARTITION BY period))::BIGINT AS n_positive FROM scored) WHERE rn <= budget GROUP BY period, budget, n_positive""", "scored"))
