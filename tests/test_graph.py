@@ -120,17 +120,22 @@ def edge_frame(spark, edges):
         "src long, dst long, first_date date, n_txn long"))
 
 
-def check_iterative(spark, edges, last, max_rows=components.MAX_ROWS):
+def check_iterative(spark, edges, last, finish=0):
     frame = edge_frame(spark, edges)
+    forest = components.merge_forest(frame, finish)
     asked = node_days(spark, frame, last)
     ranks = {(r.node_id, r.feature_date): r.pagerank for r in pagerank.pagerank(frame, asked, last).collect()}
     sizes = {(r.node_id, r.feature_date): r.wcc_size
-             for r in components.wcc(frame, asked, last, max_rows).collect()}
+             for r in components.wcc(frame, asked, last, forest).collect()}
+    summary = {r.feature_date: (r.n_components, r.largest) for r in components.component_summary(frame, last, forest).collect()}
     assert len(ranks) == len(sizes) == asked.count()
     for n in range(1, (last - day(1)).days + 2):
         known = [e for e, t in edges.items() if t < n]
         r = brute_pagerank(known) if known else {}
         c = brute_components(known)
+        assert (day(n) in summary) == bool(known)
+        if known:
+            assert summary[day(n)] == (round(sum(1 / k for k in c.values())), max(c.values()))
         for v in {v for e in edges for v in e}:
             assert ranks[v, day(n)] == pytest.approx(r.get(v, 0.0), abs=1e-12)
             assert sizes[v, day(n)] == c.get(v, 0)
@@ -142,14 +147,34 @@ def test_hub_is_split(spark, hot):
     edges = {(0, i): rng.randint(1, 4) for i in range(1, 41)}
     edges |= {(i, 0): 3 for i in range(20, 60)}
     edges |= {(rng.randint(1, 60), 61 + rng.randint(0, 40)): rng.randint(1, 5) for _ in range(60)}
-    check_iterative(spark, edges, day(6), max_rows=2 * len(edges))
+    check_iterative(spark, edges, day(6))
+
+
+def test_merge_forest_has_no_row_per_date(spark):
+    """Edges thousands of days apart: rows follow nodes and merges; loops and no edges give nothing."""
+    far = edge_frame(spark, {(1, 2): 1, (3, 4): 2, (2, 3): 9000, (7, 7): 1})
+    for finish in (0, 100):
+        forest = components.merge_forest(far, finish)
+        assert forest.history.count() == 8 and forest.growth.count() == 3 and forest.rounds == 2
+        asked = spark.createDataFrame([(1, day(2)), (4, day(2)), (4, day(9001)), (7, day(2)), (99, day(5))], "node_id long, feature_date date")
+        assert [r.wcc_size for r in components.wcc(far, asked, day(9001), forest).orderBy("feature_date", "node_id").collect()] == [
+            2, 0, 0, 0, 4]
+    none = far.where("src = 7")
+    assert components.merge_forest(none).rounds == 0 and components.component_summary(none, day(3)).count() == 0
+    assert [r.wcc_size for r in components.wcc(none, asked, day(3)).collect()] == [0] * 5
+
+
+def test_last_rounds_in_one_task(spark):
+    rng = random.Random(11)
+    edges = {(rng.randint(0, 40), rng.randint(50, 90)): rng.randint(1, 9) for _ in range(45)}
+    check_iterative(spark, edges, day(6), finish=1000)
 
 
 def test_chain_and_late_merge(spark):
     edges = {(i, i + 1): 1 + i % 3 for i in range(12)}
     edges |= {(100 + i, 101 + i): 2 for i in range(5)}
     edges[12, 100] = 4
-    check_iterative(spark, edges, day(6), max_rows=len(edges))
+    check_iterative(spark, edges, day(6))
 
 
 @settings(max_examples=4, deadline=None, derandomize=True,
@@ -215,5 +240,5 @@ def test_hot_keys_without_a_partner_are_spread(spark, no_aqe):
         "src long, dst long, first_date date, n_txn long",
     )
     asked = spark.createDataFrame([(i, day) for i in range(60)] * 5, "node_id long, feature_date date")
-    sizes = components.wcc(early, asked, day, max_rows=100)
+    sizes = components.wcc(early, asked, day)
     assert {r.wcc_size for r in sizes.collect()} == {60} and most_in_a_task(sizes) < 150

@@ -11,13 +11,13 @@ from txnrisk import schema as S
 from txnrisk.config import Config
 from txnrisk.functions.scale import salted_join
 from txnrisk.operators.account import attach_by_node_day, fill_cold_start
-from txnrisk.operators.components import wcc
+from txnrisk.operators.components import MergeForest, wcc
 from txnrisk.operators.graph import active_days, counterparties
 from txnrisk.operators.pagerank import pagerank
 
 
 def graph_node_day(
-    txn: DataFrame, edges: DataFrame, last_date: dt.date, config: Config = Config()
+    txn: DataFrame, edges: DataFrame, last_date: dt.date, config: Config = Config(), forest: MergeForest | None = None,
 ) -> DataFrame:
     """Node features for every (node, day) that occurs in a transaction.
 
@@ -30,7 +30,7 @@ def graph_node_day(
     return (
         counterparties(edges, days)
         .join(ranks.select(*keys, "pagerank_log"), keys)
-        .join(wcc(edges, days, last_date).select(*keys, "wcc_size_log"), keys)
+        .join(wcc(edges, days, last_date, forest).select(*keys, "wcc_size_log"), keys)
         .select(*S.GRAPH_NODE_DAY.fieldNames())
     )
 

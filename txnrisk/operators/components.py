@@ -1,11 +1,18 @@
-"""Weakly connected components of all daily snapshots.
-
-Feature dates are handled in blocks. Before a block, everything older is
-contracted: a node is represented by the component it already belongs to. Within
-a block only the new edges are repeated per date, and all dates of the block run
-in the same rounds of large-star and small-star (Kiveris et al., 2014) until the
-edge table stops changing. The block length follows from the number of edges, so
-that edges x dates stays within ``max_rows``.
+"""Weakly connected components of all daily snapshots, by one merge forest.
+
+The snapshot of a date holds the edges first seen before it. All snapshots are told
+by one forest, built by Boruvka's rounds: every node takes its earliest edge, nodes
+joined by these edges contract to a parent, and the earliest edges between parents
+make up the graph of the next round. At least half of the nodes go per round. A node
+remembers the day ``t`` of the edge it took.
+
+Two nodes are connected by edges before a date if and only if the way between them in
+the forest has only nodes with ``t`` before that date (King, 1997): a node's edge is the
+earliest at it, and along the edges taken days never rise towards the root of a
+contraction. So the component of a node on a date is its highest ancestor below which
+all ``t`` lie before the date, and its size is the number of leaves that reach this
+ancestor by then. Nothing is repeated per date: a node has a row per ancestor at which
+its component changes, and an ancestor a row per day on which it grows.
 """
 
 from __future__ import annotations
@@ -14,212 +21,223 @@ import dataclasses
 import datetime as dt
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions.days import day_number
-from txnrisk.functions.scale import counted_keys, salted_join
+from txnrisk.functions.scale import counted_keys, hot_rows, salted_join, stack
 from txnrisk.session import checkpoint
 
-MAX_ROWS = 2_000_000_000
+#: Edges of a contracted graph whose last rounds run in one task: some 2 MB, whatever the input.
+FINISH_EDGES = 100_000
 
 
 @dataclasses.dataclass
-class Block:
-    """Components on the days ``first_day .. last_day``.
+class MergeForest:
+    """Components of all dates.
 
-    ``labels``  (node_id, comp, size): state before the block, None if empty.
-    ``merged``  (day, label, root, base, size, is_new): what differs from it. A
-                label is an old component or a new node, ``base`` its own size.
+    ``history``  (node_id, level, label, since, until): the component of a node on days
+                 ``since`` to ``until`` - 1 (null: for ever); none before its first edge.
+    ``growth``   (level, label, day, n): leaves that reach the label by an edge of ``day``.
+    ``ends``     (level, label, t): day of the edge by which a component merges into another, null for a root.
     """
 
-    first_day: int
-    last_day: int
-    labels: DataFrame | None
-    merged: DataFrame
+    history: DataFrame
+    growth: DataFrame
+    ends: DataFrame
     rounds: int
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.pmod(F.xxhash64("day", "hi", "lo"), F.lit(1 << 31))), F.lit(0)).alias("h"),
-    ).first()
-    return row["n"], row["h"]
-
-
-def _large_star(edges: DataFrame, rows: int) -> DataFrame:
-    """Connect every larger neighbour of a node to the smallest one."""
-    ends = edges.select("day", F.explode(F.array(
-        F.struct(F.col("hi").alias("a"), F.col("lo").alias("b"), F.lit(0).alias("w")),
-        F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(1).alias("w")),
-    )).alias("e"))
-    nearest = ends.groupBy("day", F.col("e.a").alias("lo")).agg(
-        F.sum("e.w").alias("w"), F.min("e.b").alias("b")
-    ).select("day", "lo", "w", F.least("lo", "b").alias("m"))
-    return salted_join(edges, nearest, ["day", "lo"], "hi", "w", "inner", rows=rows).select(
-        "day", "hi", F.col("m").alias("lo")
-    ).distinct()
-
-
-def _small_star(edges: DataFrame, rows: int) -> DataFrame:
-    """Connect a node and its smaller neighbours to the smallest of them."""
-    nearest = edges.groupBy("day", "hi").agg(F.count(F.lit(1)).alias("w"), F.min("lo").alias("m"))
-    joined = salted_join(edges, nearest, ["day", "hi"], "lo", "w", "inner", rows=rows)
-    return joined.select("day", "m", F.explode(F.array("hi", "lo")).alias("hi")).where(
-        "hi <> m"
-    ).select("day", "hi", F.col("m").alias("lo")).distinct()
-
-
-def star_components(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Edges (day, hi, lo) to stars in which ``lo`` is the smallest node; and rounds."""
-    edges = checkpoint(edges)
-    seen = _signature(edges)
-    rounds = 0
-    while seen[0]:
-        edges = checkpoint(_small_star(_large_star(edges, seen[0]), 2 * seen[0]))
-        rounds += 1
-        now = _signature(edges)
-        if now == seen:
+def earliest_edges(edges: DataFrame) -> DataFrame:
+    """(lo, hi, t): each pair of different nodes with its first day. ``edges`` is (src, dst, first_date)."""
+    return edges.where("src <> dst").groupBy(
+        F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")
+    ).agg(F.min(day_number("first_date")).alias("t"))
+
+
+def _taken(edges: DataFrame) -> DataFrame:
+    """(a, next, t, degree): the earliest edge of every node, ties by its ends, and where it leads."""
+    ends = edges.select("t", F.explode(F.array(
+        F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")),
+        F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")),
+    )).alias("e")).select("e.a", "e.b", "t")
+    first = F.min(F.struct("t", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+    return ends.groupBy("a").agg(first.alias("e"), F.count(F.lit(1)).alias("degree")).select(
+        "a", F.when(F.col("e.lo") == F.col("a"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("next"), "e.t", "degree")
+
+
+def _jump(nodes: DataFrame, rows: int) -> DataFrame:
+    """``nodes`` with ``further``: where the next node leads. A node many lead to is split."""
+    further = nodes.select(F.col("a").alias("next"), F.col("next").alias("further"))
+    if rows > hot_rows(nodes.sparkSession):
+        further = counted_keys(nodes.select("next"), further, ["next"], "_w")
+        return salted_join(nodes, further, ["next"], "a", "_w", "inner")
+    return nodes.join(further, "next")
+
+
+def _contracted(taken: DataFrame, rows: int) -> DataFrame:
+    """(a, t, degree, label): the root of each node. Of two nodes that took one edge the smaller is the root."""
+    root = (F.col("further") == F.col("a")) & (F.col("a") < F.col("next"))
+    nodes = _jump(checkpoint(taken), rows).select(
+        "a", F.when(root, F.col("a")).otherwise(F.col("next")).alias("next"), "t", "degree")
+    while True:
+        # two doublings per stored table
+        for _ in range(2):
+            nodes = _jump(nodes, rows).select(
+                "a", F.col("further").alias("next"), "t", "degree", (F.col("further") != F.col("next")).alias("moved"))
+        nodes = checkpoint(nodes)
+        if nodes.where("moved").isEmpty():
+            return nodes.select("a", "t", "degree", F.col("next").alias("label"))
+
+
+def _relabelled(edges: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """Earliest edges between the contracted nodes."""
+    for end, other in (("lo", "hi"), ("hi", "lo")):
+        label = nodes.select(F.col("a").alias(end), F.col("label").alias("_label"), F.col("degree").alias("_w"))
+        edges = salted_join(edges, label, [end], other, "_w", "inner", rows=rows, stored=True).select(
+            "t", F.col("_label").alias(end), other)
+    return edges.where("lo <> hi").groupBy(
+        F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).agg(F.min("t").alias("t"))
+
+
+def _round(lo: np.ndarray, hi: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One round in memory: nodes, the days they took, their roots; and the edges left."""
+    a, b, day = np.concatenate([lo, hi]), np.concatenate([hi, lo]), np.concatenate([t, t])
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), day, a))
+    first = order[np.flatnonzero(np.diff(a[order], prepend=a[order[0]] - 1))]
+    nodes, taken = a[first], day[first]
+    lead = np.searchsorted(nodes, b[first])
+    own = np.arange(len(nodes))
+    lead = np.where((lead[lead] == own) & (own < lead), own, lead)
+    while (lead[lead] != lead).any():
+        lead = lead[lead]
+    root = nodes[lead]
+    x, y = root[np.searchsorted(nodes, lo)], root[np.searchsorted(nodes, hi)]
+    lo, hi, t = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], t[x != y]
+    order = np.lexsort((t, hi, lo))
+    lo, hi, t = lo[order], hi[order], t[order]
+    kept = np.ones(len(lo), bool)
+    kept[1:] = (np.diff(lo) != 0) | (np.diff(hi) != 0)
+    return nodes, taken, root, lo[kept], hi[kept], t[kept]
+
+
+def _finished(graph: DataFrame) -> DataFrame:
+    """(level, a, t, label) of all rounds that a contracted graph of few edges still needs, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("t", pa.int32())]))
+        lo, hi, t = (rows.column(c).to_numpy() for c in ("lo", "hi", "t"))
+        level = 0
+        while len(lo):
+            level += 1
+            nodes, taken, root, lo, hi, t = _round(lo, hi, t)
+            yield pa.RecordBatch.from_pydict({
+                "level": pa.array(np.full(len(nodes), level, np.int32)), "a": nodes, "t": pa.array(taken, pa.int32()), "label": root})
+
+    one = graph.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("t").cast("int").alias("t"))
+    return one.coalesce(1).mapInArrow(run, "level int, a long, t int, label long")
+
+
+def merge_forest(edges: DataFrame, finish: int = FINISH_EDGES) -> MergeForest:
+    """The merge forest of ``edges`` (src, dst, first_date); loops connect nothing. Empty without edges.
+
+    The first round is always spread; later ones are until at most ``finish`` edges are left.
+    """
+    spark = edges.sparkSession
+    graph = checkpoint(earliest_edges(edges))
+    first = rows = graph.count()
+    rounds: list[DataFrame] = []  # (a, t, label) of each round
+    while rows:
+        if rounds and rows <= finish:
+            rest = checkpoint(_finished(graph))
+            more = rest.agg(F.max("level")).first()[0]
+            rounds += [rest.where(F.col("level") == k).drop("level") for k in range(1, more + 1)]
             break
-        seen = now
-    return edges, rounds
-
-
-def _merged(stars: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of each star with their own size and the size of the whole."""
-    members = stars.select("day", F.col("hi").alias("label"), F.col("lo").alias("root")).unionByName(
-        stars.select("day", F.col("lo").alias("label"), F.col("lo").alias("root")).distinct()
-    )
-    if labels is None:
-        members = members.withColumns({"base": F.lit(1).cast("long"), "is_new": F.lit(True)})
-    else:
-        comps = labels.groupBy(F.col("comp").alias("label")).agg(F.max("size").alias("base"))
-        members = members.join(comps, "label", "left").withColumn(
-            "is_new", F.col("base").isNull()
-        ).withColumn("base", F.coalesce("base", F.lit(1).cast("long")))
-    totals = members.groupBy("day", "root").agg(
-        F.sum("base").alias("size"), F.count(F.lit(1)).alias("w")
-    )
-    return salted_join(members, totals, ["day", "root"], "label", "w", "inner")
-
-
-def component_blocks(
-    edges: DataFrame, last_date: dt.date, max_rows: int = MAX_ROWS
-) -> Iterator[Block]:
-    """Run the blocks in order; ``edges`` is (src, dst, first_date)."""
-    undirected = checkpoint(
-        edges.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
-        .agg(F.min(day_number("first_date")).alias("t"))
-    )
-    row = undirected.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t")).first()
-    if not row["n"]:
-        return
-    last = (last_date - dt.date(1970, 1, 1)).days
-    length = max(1, min(last - row["t"] + 1, 2 * max_rows // row["n"]))
-    labels: DataFrame | None = None
-    for a in range(row["t"], last + 1, length):
-        b = min(a + length - 1, last)
-        fresh = undirected.where(F.col("t").between(a, b))
-        if labels is not None:
-            for end in ("hi", "lo"):
-                comp = labels.select(F.col("node_id").alias(end), F.col("comp").alias("_c"))
-                fresh = salted_join(
-                    fresh, counted_keys(fresh, comp, [end], "_w"), [end],
-                    "lo" if end == "hi" else "hi", "_w",
-                ).withColumn(end, F.coalesce("_c", end)).drop("_c")
-            fresh = fresh.where("hi <> lo").groupBy(
-                F.least("hi", "lo").alias("lo"), F.greatest("hi", "lo").alias("hi")
-            ).agg(F.min("t").alias("t"))
-        # day b + 1 carries the state into the next block
-        per_day = fresh.select(
-            F.explode(F.sequence(F.col("t") + 1, F.lit(b + 1))).alias("day"), "hi", "lo"
-        )
-        stars, rounds = star_components(per_day)
-        merged = checkpoint(_merged(stars, labels))
-        yield Block(a, b, labels, merged, rounds)
-        if b < last:
-            labels = _carry(labels, merged.where(F.col("day") == b + 1))
-
-
-def _carry(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
-    """Labels after a block, from the merges on its carry day."""
-    new = merged.where("is_new").select(
-        F.col("label").alias("node_id"), F.col("root").alias("comp"), "size"
-    )
-    if labels is None:
-        return checkpoint(new)
-    moved = merged.where("NOT is_new").select(
-        F.col("label").alias("comp"), F.col("base").alias("_w"),
-        F.col("root").alias("_root"), F.col("size").alias("_size"),
-    )
-    kept = salted_join(labels, moved, ["comp"], "node_id", "_w").select(
-        "node_id", F.coalesce("_root", "comp").alias("comp"), F.coalesce("_size", "size").alias("size")
-    )
-    return checkpoint(kept.unionByName(new))
-
-
-def wcc(
-    edges: DataFrame, node_days: DataFrame, last_date: dt.date, max_rows: int = MAX_ROWS
-) -> DataFrame:
+        nodes = _contracted(_taken(graph), 2 * rows)
+        rounds.append(nodes.drop("degree"))
+        graph = checkpoint(_relabelled(graph, nodes, rows))
+        rows = graph.count()
+    if not rounds:
+        empty = spark.createDataFrame([], "node_id long, level int, label long, since int, until int, day int, n long, t int")
+        return MergeForest(empty.select("node_id", "level", "label", "since", "until"),
+                           empty.select("level", "label", "day", "n"), empty.select("level", "label", "t"), 0)
+    # from the second round on a label is the contracted node of the round before; a node has at most
+    # one ancestor per round and fewer rounds than 64
+    way = rounds[0].select(F.col("a").alias("node_id"), F.col("label").alias("l1"), F.col("t").alias("d1"))
+    for k, step in enumerate(rounds[1:], 2):
+        up = step.select(F.col("a").alias(f"l{k - 1}"), F.col("label").alias(f"l{k}"), F.col("t").alias("_t"))
+        if 2 * first > hot_rows(spark):
+            up = counted_keys(way.select(f"l{k - 1}"), up, [f"l{k - 1}"], "_w")
+            way = checkpoint(salted_join(way, up, [f"l{k - 1}"], "node_id", "_w"))
+        else:
+            way = way.join(up, f"l{k - 1}", "left")
+        way = way.withColumn(f"d{k}", F.when(F.col(f"l{k}").isNotNull(), F.greatest(f"d{k - 1}", "_t"))).drop("_t")
+    n = len(rounds)
+    steps = checkpoint(way.select("node_id", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("level"), F.col(f"l{k}").alias("label"), F.col(f"d{k}").alias("day")) for k in range(1, n + 1)
+    ])).alias("s")).select("node_id", "s.*").where("label is not null"))
+    # of the ancestors that a node reaches on one day the highest counts
+    upwards = Window.partitionBy("node_id").orderBy("level")
+    history = steps.withColumn("until", F.lead("day").over(upwards) + 1).where(
+        "until is null or until > day + 1").select("node_id", "level", "label", (F.col("day") + 1).alias("since"), "until")
+    growth = steps.groupBy("level", "label", "day").agg(F.count(F.lit(1)).alias("n"))
+    ends = [r.select(F.lit(k).alias("level"), F.col("a").alias("label"), "t") for k, r in enumerate(rounds[1:], 1)]
+    merged = stack(ends) if ends else spark.createDataFrame([], "level int, label long, t int")
+    return MergeForest(history, growth, merged, n)
+
+
+def wcc(edges: DataFrame, node_days: DataFrame, last_date: dt.date, forest: MergeForest | None = None) -> DataFrame:
     """``(node_id, feature_date, wcc_size, wcc_size_log)`` for each of ``node_days``.
 
-    A node that is not in the snapshot has size 0.
+    A node that is not in the snapshot has size 0. ``last_date`` ends the dates asked for.
     """
+    forest = forest or merge_forest(edges)
     asked = node_days.select("node_id", "feature_date", day_number("feature_date").alias("day"))
-    result = None
-    covered = None
-    for block in component_blocks(edges, last_date, max_rows):
-        covered = block.first_day if covered is None else covered
-        rows = asked.where(F.col("day").between(block.first_day, block.last_day))
-        if block.labels is None:
-            rows = rows.withColumns({"label": F.col("node_id"), "own": F.lit(0).cast("long")})
-        else:
-            rows = rows.join(block.labels, "node_id", "left").select(
-                "node_id", "feature_date", "day",
-                F.coalesce("comp", "node_id").alias("label"), F.coalesce("size", F.lit(0)).alias("own"),
-            )
-        # counted from the rows, so that a giant that does not merge on a day is split as well
-        rows = checkpoint(rows)
-        sizes = counted_keys(rows, block.merged.select("day", "label", "size"), ["day", "label"], "_w")
-        part = salted_join(rows, sizes, ["day", "label"], "node_id", "_w").select(
-            "node_id", "feature_date", F.coalesce("size", "own").alias("wcc_size")
-        )
-        result = part if result is None else result.unionByName(part)
-    early = asked if covered is None else asked.where(F.col("day") < covered)
-    early = early.select("node_id", "feature_date", F.lit(0).cast("long").alias("wcc_size"))
-    result = early if result is None else result.unionByName(early)
-    return result.withColumn("wcc_size_log", F.log1p("wcc_size"))
-
-
-def component_summary(
-    edges: DataFrame, last_date: dt.date, max_rows: int = MAX_ROWS
-) -> DataFrame:
-    """``(feature_date, n_components, largest)`` for each date with a snapshot."""
-    parts = []
-    for block in component_blocks(edges, last_date, max_rows):
-        days = F.explode(F.sequence(F.lit(block.first_day), F.lit(block.last_day))).alias("day")
-        roots = block.merged.where(
-            F.col("day").between(block.first_day, block.last_day) & (F.col("label") == F.col("root"))
-        )
-        counts = roots.groupBy("day").agg(
-            F.count(F.lit(1)).alias("n"), F.max("size").alias("largest")
-        )
-        if block.labels is not None:
-            # old components count on each day on which they are not merged
-            comps = block.labels.groupBy(F.col("comp").alias("label")).agg(F.max("size").alias("size"))
-            untouched = comps.select("label", "size", days).join(
-                block.merged.select("day", "label"), ["day", "label"], "left_anti"
-            ).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"))
-            counts = counts.unionByName(untouched).groupBy("day").agg(
-                F.sum("n").alias("n"), F.max("largest").alias("largest")
-            )
-        parts.append(counts)
-    if not parts:
-        return edges.sparkSession.createDataFrame([], "feature_date date, n_components long, largest long")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.select(
-        F.date_from_unix_date("day").alias("feature_date"), F.col("n").alias("n_components"), "largest"
+    found = checkpoint(asked.alias("a").join(forest.history.alias("h"), (
+        (F.col("a.node_id") == F.col("h.node_id")) & (F.col("a.day") >= F.col("h.since"))
+        & (F.col("h.until").isNull() | (F.col("a.day") < F.col("h.until")))
+    ), "left").select("a.*", "h.level", "h.label"))
+    # one row per label and day that is asked for or on which it grows
+    wanted = found.where("label is not null").groupBy("level", "label", "day").agg(F.count(F.lit(1)).alias("_w"))
+    both = stack([
+        wanted.withColumn("n", F.lit(0).cast("long")),
+        forest.growth.select("level", "label", (F.col("day") + 1).alias("day"), F.lit(0).cast("long").alias("_w"), "n"),
+    ]).groupBy("level", "label", "day").agg(F.sum("_w").alias("_w"), F.sum("n").alias("n"))
+    until = Window.partitionBy("level", "label").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = both.withColumn("size", F.sum("n").over(until)).where("_w > 0").select("level", "label", "day", "size", "_w")
+    # nodes without a component on the day are spread like a hot key of their own
+    sized = salted_join(found, sizes, ["level", "label", "day"], "node_id", "_w").select(
+        "node_id", "feature_date", F.coalesce("size", F.lit(0)).alias("wcc_size"))
+    return sized.withColumn("wcc_size_log", F.log1p("wcc_size"))
+
+
+def component_summary(edges: DataFrame, last_date: dt.date, forest: MergeForest | None = None) -> DataFrame:
+    """``(feature_date, n_components, largest)`` for each date with a snapshot, up to ``last_date``.
+
+    A component counts from the first leaf that reaches its label until the label
+    merges into another; components only grow, so the largest is a running maximum.
+    """
+    forest = forest or merge_forest(edges)
+    grown = checkpoint(forest.growth)
+    upto = Window.partitionBy("level", "label").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    largest = grown.withColumn("size", F.sum("n").over(upto)).groupBy("day").agg(F.max("size").alias("size"))
+    born = grown.groupBy("level", "label").agg(F.min("day").alias("day"))
+    lives = born.join(forest.ends, ["level", "label"], "left").where("t is null or t > day")
+    turns = stack([
+        lives.select("day", F.lit(1).alias("turn")), lives.where("t is not null").select(F.col("t").alias("day"), F.lit(-1).alias("turn")),
+    ]).groupBy("day").agg(F.sum("turn").alias("turn"))
+    last = (last_date - dt.date(1970, 1, 1)).days
+    per_day = turns.join(largest, "day", "full").select(
+        F.col("day"), F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("size", F.lit(0)).alias("size")
+    ).where(F.col("day") < last)
+    # one row per day from here on
+    span = per_day.agg(F.min("day").alias("a")).where("a is not null").select(
+        F.explode(F.sequence(F.col("a"), F.lit(last - 1))).alias("day"))
+    running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return span.join(per_day, "day", "left").select(
+        F.date_from_unix_date(F.col("day") + 1).alias("feature_date"),
+        F.sum(F.coalesce("turn", F.lit(0))).over(running).alias("n_components"),
+        F.max(F.coalesce("size", F.lit(0))).over(running).alias("largest"),
     )

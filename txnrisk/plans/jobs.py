@@ -19,7 +19,7 @@ from txnrisk.config import Config
 from txnrisk.functions.days import first_and_last_date
 from txnrisk.functions.scale import stack
 from txnrisk.operators import (
-    account, assemble, bootstrap, explain, graph, metrics, model, quality, report, split,
+    account, assemble, bootstrap, components, explain, graph, metrics, model, quality, report, split,
     txn_features,
 )
 from txnrisk.session import checkpoint
@@ -70,13 +70,14 @@ def run_graph(spark: SparkSession, out: str, config: Config = Config()) -> None:
     _, last = first_and_last_date(clean)
     graph.build_edges(clean).write.mode("overwrite").parquet(f"{out}/edges")
     edges = spark.read.parquet(f"{out}/edges")
+    forest = components.merge_forest(edges)
     tables.write_node_day(
-        assemble.graph_node_day(clean, edges, last, config), f"{out}/graph_node_day"
+        assemble.graph_node_day(clean, edges, last, config, forest), f"{out}/graph_node_day"
     )
     tables.write_pair_txn(graph.pair_history(clean, edges), f"{out}/graph_pair_txn")
     pair = tables.read_table(spark, f"{out}/graph_pair_txn", S.GRAPH_PAIR_TXN)
     tables.export_results({
-        "network_stats": report.network_stats(edges, last),
+        "network_stats": report.network_stats(edges, last, components.component_summary(edges, last, forest)),
         "degree_distribution": report.degree_distribution(edges),
         "new_pair_analysis": report.new_pair_analysis(clean, pair),
         "graph_id_consistency": quality.id_consistency(
