@@ -242,3 +242,17 @@ def test_hot_keys_without_a_partner_are_spread(spark, no_aqe):
     asked = spark.createDataFrame([(i, day) for i in range(60)] * 5, "node_id long, feature_date date")
     sizes = components.wcc(early, asked, day)
     assert {r.wcc_size for r in sizes.collect()} == {60} and most_in_a_task(sizes) < 150
+
+
+def test_pagerank_is_the_same_in_blocks_of_dates(spark, hot):
+    """Fourteen edges of one sender are split over salts; seven dates take four blocks of two."""
+    edges = {(1, v): 1 + v % 7 for v in range(2, 16)} | {(3, 1): 2, (4, 3): 5, (20, 21): 6}
+    frame = edge_frame(spark, edges)
+    last = day(8)
+    asked = node_days(spark, frame, last)
+    ranks = {(r.node_id, r.feature_date): r.pagerank
+             for r in pagerank.pagerank(frame, asked, last, block=2).collect()}
+    for n in range(1, 9):
+        expected = brute_pagerank([e for e, t in edges.items() if t < n]) if n > 1 else {}
+        for v in {v for e in edges for v in e}:
+            assert ranks[v, day(n)] == pytest.approx(expected.get(v, 0.0), abs=1e-12)

@@ -1,39 +1,39 @@
-"""PageRank of all daily snapshots at once.
+"""PageRank of all daily snapshots, a block of dates at a time.
 
-Teleport and dangling mass are kept out of the loop. With the damped link matrix
-``L`` of a snapshot and the uniform start ``u``, the ranks are
+With the damped link matrix ``L`` of a snapshot and the uniform start ``u``, one
+iteration is
 
-    r[0] = u,   r[k+1] = L r[k] + (1 - sum(L r[k])) u
+    y = L r,   r' = y + (1 - sum(y)) u
 
-so r[K] is a weighted sum of the powers ``p[j] = L^j u``, and the weights depend
-only on the sums of the powers. The loop is one join and one aggregation per
-power; it carries only nodes that received something, and no per-date total has
-to be joined back to the nodes in every iteration. The weights are a few numbers
-per date, worked out once the sums are known.
-
-An edge is stored once, with its first date, and meets the rank rows of the
-dates after it in the join; edges x dates exist only as a stream into the partial
-sums of the same stage.
+where the second term returns teleport and dangling mass in one constant per date.
+A node's state is one row with a number per date of the block, and an edge is one
+row with its first date: it passes on the numbers of the later dates. The join and
+the partial sums therefore handle edges, not edges x dates, and what is shuffled is
+one row per (task, receiver), however many dates the block has. An iteration reads
+the state before it and writes its own; older ones are released.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions.days import day_number
 from txnrisk.functions.scale import hot_rows, stack
 from txnrisk.session import checkpoint
 
+
 def pagerank(
     edges: DataFrame,
     node_days: DataFrame,
     last_date: dt.date,
     damping: float = 0.85,
     iterations: int = 20,
+    block: int = 32,
 ) -> DataFrame:
     """``(node_id, feature_date, pagerank, pagerank_log)`` for each of ``node_days``.
 
@@ -41,6 +41,7 @@ def pagerank(
     uniformly, a fixed number of iterations. ``pagerank_log`` is ``log1p(N * rank)``
     with N nodes in the snapshot; a node that is not in the snapshot has 0.
     ``edges`` is read several times and should be a checkpoint or a table.
+    ``block`` dates share a row; it bounds the width of a row and changes no result.
     """
     last = (last_date - dt.date(1970, 1, 1)).days
     links = edges.select("src", "dst", day_number("first_date").alias("t")).where(F.col("t") < last)
@@ -56,122 +57,117 @@ def pagerank(
         n_nodes[day] = n_nodes.get(day - 1, 0) + arrivals.get(day - 1, 0)
 
     asked = node_days.select("node_id", "feature_date", day_number("feature_date").alias("day"))
+    zero = F.lit(0.0)
     if not n_nodes:
-        zero = F.lit(0.0)
         return asked.select(
             "node_id", "feature_date", zero.alias("pagerank"), zero.alias("pagerank_log")
         )
-    powers = _powers(links, n_nodes, last, damping, iterations)
-    # one row per power and date to the driver
-    sums: dict[tuple[int, int], float] = {}
-    if powers:
-        totals = stack([p.withColumn("power", F.lit(j)) for j, p in enumerate(powers, 1)])
-        for j, day, total in totals.groupBy("power", "day").agg(F.sum("v")).collect():
-            sums[j, day] = total
-    weights = [
-        _weights([1.0, *[sums.get((j, day), 0.0) for j in range(1, iterations + 1)]])
-        for day in n_nodes
-    ]
+    links, hot = _placed(links)
+    days = list(n_nodes)
+    states, refills = [], []
+    for i in range(0, len(days), block):
+        state, refill = _iterate(links, hot, {d: n_nodes[d] for d in days[i:i + block]}, damping, iterations)
+        states.append(state.select(
+            "node_id", F.lit(i // block).alias("block"), "v"
+        ))
+        refills += refill
+    links.unpersist()
 
     def by_day(values: list[float]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("day") - min(n_nodes) + 1)
-
-    # the start vector is the same for all nodes of a snapshot
-    start = asked.join(seen, "node_id").where("seen < day").select(
-        "node_id", "day", by_day([w[0] / n for w, n in zip(weights, n_nodes.values())]).alias("v")
+        return F.element_at(F.expr(_array(f"{v!r}D" for v in values)), F.col("day") - days[0] + 1)
+
+    # the constant of a date is the same for all nodes of its snapshot
+    offset = F.col("day") - days[0]
+    known = (
+        asked.join(seen, "node_id").where("seen < day")
+        .withColumn("block", F.floor(offset / block).cast("int"))
+        .join(stack(states), ["node_id", "block"], "left")
+        .select(
+            "node_id", "day",
+            (F.coalesce(F.element_at("v", F.pmod(offset, F.lit(block)) + 1), zero) + by_day(refills)).alias("v"),
+        )
     )
-    ranks = stack([start, *[
-        p.select("node_id", "day", (by_day([w[j] for w in weights]) * F.col("v")).alias("v"))
-        for j, p in enumerate(powers, 1)
-    ]]).groupBy("node_id", "day").agg(F.sum("v").alias("v"))
     n = by_day([float(n) for n in n_nodes.values()])
-    return asked.join(ranks, ["node_id", "day"], "left").select(
+    return asked.join(known, ["node_id", "day"], "left").select(
         "node_id", "feature_date",
-        F.coalesce("v", F.lit(0.0)).alias("pagerank"),
-        F.when(F.col("v").isNotNull(), F.log1p(F.col("v") * n)).otherwise(0.0).alias("pagerank_log"),
+        F.coalesce("v", zero).alias("pagerank"),
+        F.when(F.col("v").isNotNull(), F.log1p(F.col("v") * n)).otherwise(zero).alias("pagerank_log"),
     )
 
 
-def _out_degrees(links: DataFrame, last: int) -> DataFrame:
-    """``(node_id, day, degree)`` for each day on which the node has an out-edge.
+def _array(items: Iterable[str]) -> str:
+    return f"array({', '.join(items)})"
+
 
-    The degree is constant from the day after one new edge to the day of the next.
+def _placed(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Links placed once for the joins of all iterations, and the senders to split.
+
+    The edges of a sender above the limit are spread over salts; its row of shares
+    is repeated once per salt. There are at most edges / hotKeyRows such senders,
+    which bounds the broadcast.
     """
-    per_day = links.groupBy(F.col("src").alias("node_id"), "t").agg(F.count(F.lit(1)).alias("new"))
-    w = Window.partitionBy("node_id").orderBy("t")
-    until = F.coalesce(F.lead("t").over(w), F.lit(last))
-    spans = per_day.select("node_id", "t", F.sum("new").over(w).alias("degree"), until.alias("until"))
-    return spans.select("node_id", "degree", F.explode(F.sequence(F.col("t") + 1, "until")).alias("day"))
+    limit = hot_rows(links.sparkSession)
+    degrees = checkpoint(links.groupBy("src").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > limit))
+    if degrees.isEmpty():
+        hot, placed = None, links.repartition("src")
+    else:
+        hot = degrees.select("src", F.ceil(F.col("d") / limit).cast("int").alias("salts"))
+        salt = F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
+        placed = (
+            links.join(F.broadcast(hot), "src", "left").withColumn("salt", salt).drop("salts")
+            .repartition("src", "salt")
+        )
+    # materialized before the loop, so that its plans see the placement and move only ranks
+    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed.count()
+    return placed, hot
 
 
-def _powers(
-    links: DataFrame, n_nodes: dict[int, int], last: int, damping: float, iterations: int
-) -> list[DataFrame]:
-    """Powers 1 .. iterations as stored ``(node_id, day, v, degree)`` tables.
+def _iterate(
+    links: DataFrame, hot: DataFrame | None, n_nodes: dict[int, int], damping: float, iterations: int
+) -> tuple[DataFrame, list[float]]:
+    """``(node_id, v)`` after the last iteration, and a constant per date.
 
-    All of them enter the result, so storing each one is not extra work.
+    The rank on a date is the received mass ``v`` plus the constant. ``f`` is the
+    part of its rank that a sender passes to each receiver, null on dates before its
+    first edge. The constants enter as one array, so that the plans of all iterations
+    have the same generated code.
     """
-    limit = hot_rows(links.sparkSession)
-    # Degrees and links are placed once for their join keys. They are materialized
-    # before the loop, so that its plans see the placement and move only ranks.
-    degrees = _out_degrees(links, last).repartition("node_id", "day").persist(StorageLevel.MEMORY_AND_DISK)
-    busiest = degrees.agg(F.max("degree")).first()[0]
-
-    # A sender above the limit is split: its edges are spread over salts and its
-    # rank rows are repeated once per salt. There are at most edges / hotKeyRows
-    # such senders, which bounds the broadcast.
-    split = busiest > limit
-    keys = ["src"]
-    if split:
-        keys = ["src", "salt"]
-        hot = degrees.groupBy("node_id").agg(F.max("degree").alias("d")).where(F.col("d") > limit)
-        hot = checkpoint(hot.select(
-            F.col("node_id").alias("src"), F.ceil(F.col("d") / limit).cast("int").alias("salts")
-        ))
-        links = links.join(F.broadcast(hot), "src", "left").withColumn(
-            "salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
-        ).drop("salts")
-    links = links.repartition(*keys).persist(StorageLevel.MEMORY_AND_DISK)
-    links.count()
-
-    def shares(ranks: DataFrame, v: Column) -> DataFrame:
-        share = ranks.where("degree IS NOT NULL").select(
-            F.col("node_id").alias("src"), "day", (v * damping / F.col("degree")).alias("share")
+    days = list(n_nodes)
+    known = links.where(F.col("t") < days[-1])
+    # one SQL text per list of dates: a Column object per date takes longer than the work
+    factors = known.groupBy(F.col("src").alias("node_id")).agg(F.expr(_array(
+        f"{damping!r}D / nullif(count_if(t < {d}), 0L)" for d in days
+    )).alias("f")).repartition("node_id").persist(StorageLevel.MEMORY_AND_DISK)
+    received_by_day = F.expr(_array(
+        f"coalesce(sum(CASE WHEN t < {d} THEN v[{j}] END), 0D)" for j, d in enumerate(days)
+    ))
+    total_by_day = F.expr(_array(f"coalesce(sum(v[{j}]), 0D)" for j in range(len(days))))
+    keys = ["src"] if hot is None else ["src", "salt"]
+
+    def passed_on(state: DataFrame, constants: list[float]) -> DataFrame:
+        added = F.expr(_array(f"{c!r}D" for c in constants))
+        ranks = F.coalesce(F.zip_with("v", added, lambda v, c: v + c), added)
+        shares = state.where("f IS NOT NULL").select(
+            F.col("node_id").alias("src"), F.zip_with(ranks, "f", lambda r, f: r * f).alias("v")
         )
-        if not split:
-            return share
-        return share.join(F.broadcast(hot), "src", "left").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-        ).drop("salts")
-
-    def passed_on(share: DataFrame) -> DataFrame:
-        return (
-            share.join(links, keys).where("t < day")
-            .groupBy(F.col("dst").alias("node_id"), "day").agg(F.sum("share").alias("v"))
-            # the sums are already placed by (node, day), like the degrees
-            .join(degrees, ["node_id", "day"], "left")
+        if hot is not None:
+            shares = shares.join(F.broadcast(hot), "src", "left").withColumn(
+                "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+            ).drop("salts")
+        received = shares.join(known, keys).groupBy(F.col("dst").alias("node_id")).agg(
+            received_by_day.alias("v")
         )
+        # the sums are already placed by node, like the factors
+        return checkpoint(received.join(factors, "node_id", "full"))
 
-    starts = F.element_at(
-        F.array(*[F.lit(1.0 / n) for n in n_nodes.values()]), F.col("day") - (min(n_nodes) - 1)
-    )
-    share = shares(degrees, starts)
-    stored = []
+    constants = [1.0 / n for n in n_nodes.values()]
+    state = factors.withColumn("v", F.lit(None).cast("array<double>"))
     for _ in range(iterations):
-        power = checkpoint(passed_on(share))
-        stored.append(power)
-        share = shares(power, F.col("v"))
-    # the powers are stored by now
-    links.unpersist()
-    degrees.unpersist()
-    return stored
-
-
-def _weights(sums: list[float]) -> list[float]:
-    """Weights of the powers in the last iterate, from the sums of the powers."""
-    k = len(sums) - 1
-    refill: list[float] = []  # mass returned to the uniform vector in each iteration
-    for i in range(k):
-        moved = sums[i + 1] + sum(refill[i - 1 - j] * sums[j + 1] for j in range(i))
-        refill.append(1.0 - moved)
-    return [refill[k - 1 - j] for j in range(k)] + [1.0]
+        state = passed_on(state, constants)
+        # one row to the driver
+        totals = state.agg(total_by_day).first()[0]
+        constants = [(1.0 - total) / n for total, n in zip(totals, n_nodes.values())]
+    # the last state is stored by now
+    factors.unpersist()
+    return state, constants
