@@ -21,6 +21,7 @@ from txnrisk.operators import (
     account, bootstrap, components, explain, graph, leakage, metrics, model, pagerank, quality,
     report, split,
 )
+from txnrisk.operators.txn_features import txn_features as with_txn_features
 from txnrisk.sources import events
 from txnrisk.session import checkpoint
 
@@ -831,3 +832,81 @@ def snapshot_audit(s):
     late = F.date_add("first_date", F.when(F.col("src") % 3 == 0, 1).otherwise(0))
     planted = graph.snapshots(s.edges, s.last_date).withColumn("first_date", late)
     return graph.snapshot_audit(planted).select("src", "dst", text("feature_date"))
+
+
+@query(sql("""SELECT CAST(txn_id AS VARCHAR) AS row_key, 'g_pair_prior_count_log' AS column_name,
+ """ + r("g_pair_prior_count_log + 1", "value_a") + ", " + r("g_pair_prior_count_log", "value_b") + " FROM pair WHERE txn_id % 11 = 0", "pair"))
+def pair_audit(s):
+    """Counts planted too high; the audit finds these cells and no other."""
+    planted = F.col("g_pair_prior_count_log") + (F.col("txn_id") % 11 == 0).cast("int")
+    found = leakage.pair_audit(s.clean, s.pair.withColumn("g_pair_prior_count_log", planted))
+    return found.select("row_key", "column_name", *rounded("value_a", "value_b"))
+
+
+@query(sql("""SELECT node_id || '/' || CAST(feature_date AS VARCHAR) AS row_key, 'n_unique_in_log' AS column_name,
+ """ + r("ln(1 + n_unique_in) + 1", "value_a") + ", " + r("ln(1 + n_unique_in)", "value_b") + " FROM cp WHERE node_id % 7 = 0 AND day(feature_date) % 5 = 0", "cp"))
+def counterparty_audit(s):
+    """Counterparties planted too high; the audit finds these cells and no other."""
+    leaky = (F.col("node_id") % 7 == 0) & (F.dayofmonth("feature_date") % 5 == 0)
+    table = graph.counterparties(s.edges, graph.active_days(s.clean))
+    found = leakage.counterparty_audit(
+        s.clean, table.withColumn("n_unique_in_log", F.col("n_unique_in_log") + leaky.cast("int"))
+    )
+    return found.select("row_key", "column_name", *rounded("value_a", "value_b"))
+
+
+@query(sql("""SELECT node_id || '/' || CAST(txn_date AS VARCHAR) AS row_key, 'max_today' AS column_name,
+ """ + r("max(amount_paid)", "value_a") + ", " + r("max(amount_paid) * 7 + 3", "value_b") + """
+FROM (SELECT src AS node_id, txn_date, amount_paid FROM full_txn UNION ALL SELECT dst, txn_date, amount_paid FROM full_txn), span
+WHERE node_id % 7 = 0 AND txn_date = first + 8 GROUP BY node_id, txn_date""", "full_txn", "span"))
+def future_perturbation(s):
+    """Account history and counterparties stay; a planted column that sees its own day moves."""
+    def build(txn):
+        encoded = with_txn_features(txn, s.amount_stats)
+        days = graph.active_days(encoded)
+        keys = ["node_id", "feature_date"]
+        ends = stack([txn.select(F.col(c).alias("node_id"), F.col("txn_date").alias("feature_date"), "amount_paid")
+                      for c in ("src", "dst")])
+        planted = ends.where("node_id % 7 = 0").groupBy(*keys).agg(F.max("amount_paid").alias("max_today"))
+        history = account.account_history(encoded, s.first_date).drop("n_out_today", "n_in_today")
+        people = graph.counterparties(checkpoint(graph.build_edges(encoded)), days)
+        return history.join(people, keys).join(planted, keys, "left")
+
+    raw = s.clean.select(*s.txn.columns, "src", "dst")
+    found = leakage.future_perturbation(raw, s.bounds.test, build, ["node_id", "feature_date"])
+    return found.select("row_key", "column_name", *rounded("value_a", "value_b"))
+
+
+@query(sql("""SELECT CAST(txn_id AS VARCHAR) AS row_key, 'leak' AS column_name, is_laundering::DOUBLE AS value_a,
+ 1 - is_laundering::DOUBLE AS value_b FROM full_txn WHERE txn_id % 13 = 0""", "full_txn"))
+def label_invariance(s):
+    """Transaction, account and pair features stay; a planted column made of the label moves."""
+    def build(txn):
+        encoded = with_txn_features(txn, s.amount_stats)
+        history = account.attach_account_history(encoded, account.account_history(encoded, s.first_date))
+        pair = graph.pair_history(encoded, checkpoint(graph.build_edges(encoded)))
+        planted = F.when(F.col("txn_id") % 13 == 0, F.col("is_laundering"))
+        return history.withColumn("leak", planted).drop("is_laundering").join(pair, "txn_id")
+
+    found = leakage.label_invariance(s.clean.select(*s.txn.columns, "src", "dst"), build, ["txn_id"])
+    return found.select("row_key", "column_name", *rounded("value_a", "value_b"))
+
+
+def _moved_stats() -> str:
+    x = "ln(1 + amount_paid)"
+    y = "ln(1 + amount_paid * 7 + 3)"
+    cells = []
+    for key, group in (("payment_currency", "GROUP BY payment_currency"), ("''", "")):
+        for name, f in (("mean_log", "avg"), ("sd_log", "stddev_samp")):
+            cells.append(f"SELECT {key} AS row_key, '{name}' AS column_name, {r(f'{f}({x})', 'value_a')}, "
+                         f"{r(f'{f}({y})', 'value_b')} FROM per WHERE period = 'test' {group}")
+    return "SELECT * FROM (" + " UNION ALL ".join(cells) + ") WHERE value_a IS DISTINCT FROM value_b"
+
+
+@query(sql(_moved_stats(), "per"))
+def train_only_statistics(s):
+    """Amount statistics planted on the test period; every one of them moves."""
+    b = s.bounds
+    planted = split.Bounds(b.first, b.test, b.tail, b.tail, b.tail)
+    found = leakage.train_only_statistics(s.clean, b, planted).where("column_name IN ('mean_log', 'sd_log')")
+    return found.select("row_key", "column_name", *rounded("value_a", "value_b"))

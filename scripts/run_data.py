@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from txnrisk import schema as S
 from txnrisk.config import load_config
 from txnrisk.plans import jobs
 from txnrisk.sources import tables
@@ -23,8 +24,10 @@ def main() -> None:
     args = parser.parse_args()
     spark = SparkSession.builder.appName("txnrisk-data").config(
         "spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
+    schema = tables.source_schema() if args.without_ids else S.TXN
+    tables.check_source(spark, args.input, args.format, schema)
     if args.without_ids:
-        txn = tables.with_ids(tables.read_transactions(spark, args.input, args.format, tables.source_schema()))
+        txn = tables.with_ids(tables.read_transactions(spark, args.input, args.format, schema))
     else:
         txn = tables.read_transactions(spark, args.input, args.format)
     jobs.run_data(spark, txn, args.out, load_config(args.config))

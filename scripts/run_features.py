@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from txnrisk.config import load_config
 from txnrisk.plans import jobs
 
 
@@ -18,7 +19,7 @@ def main() -> None:
     args = parser.parse_args()
     spark = SparkSession.builder.appName("txnrisk-features").config(
         "spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
-    jobs.run_features(spark, args.out)
+    jobs.run_features(spark, args.out, load_config(args.config))
 
 
 if __name__ == "__main__":

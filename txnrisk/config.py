@@ -31,6 +31,8 @@ class Config:
     alert_budget: float = 0.01
     shap_top: int = 5
     subgraph_hops: int = 1
+    # stop a job whose features see their own day or later ones
+    leakage_checks: bool = True
 
 
 def load_config(path: str | None = None) -> Config:

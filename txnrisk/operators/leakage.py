@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk import schema as S
-from txnrisk.functions.scale import stack
+from txnrisk.functions.scale import salted_join, stack
 from txnrisk.operators.split import Bounds, fit_amount_stats, in_period, scale_pos_weight
 
 
@@ -107,6 +107,83 @@ def strict_date_audit(
     return keyed_diff(with_history, expected.select(*with_history.columns), keys)
 
 
+def recomputed_pairs(txn: DataFrame) -> DataFrame:
+    """Pair features per transaction without windows or edges.
+
+    Days of a pair meet the days before them in a join on the pair with ``<`` on the
+    date; both sides have one row per (pair, day), so a pair brings at most dates
+    squared pairs of rows, however many transactions it has.
+    """
+    days = txn.where("src <> dst").groupBy("src", "dst", "txn_date").agg(F.count(F.lit(1)).alias("n"))
+
+    def before(a: str, b: str) -> DataFrame:
+        then = days.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("txn_date").alias("then"), "n")
+        return (
+            days.drop("n").join(then, ["src", "dst"]).where("then < txn_date")
+            .groupBy("src", "dst", "txn_date").agg(F.sum("n").alias("n"))
+        )
+
+    keys = ["src", "dst", "txn_date"]
+    known = days.withColumnRenamed("n", "rows").join(before("src", "dst"), keys, "left").join(
+        before("dst", "src").withColumnRenamed("n", "reverse"), keys, "left"
+    )
+    joined = salted_join(txn.select("txn_id", *keys), known, keys, "txn_id", "rows")
+    return joined.select(
+        "txn_id",
+        F.coalesce(F.col("n") > 0, F.lit(False)).cast("int").alias("g_pair_seen_before"),
+        F.log1p(F.coalesce("n", F.lit(0))).alias("g_pair_prior_count_log"),
+        F.coalesce(F.col("reverse") > 0, F.lit(False)).cast("int").alias("g_reverse_pair_seen"),
+    )
+
+
+def pair_audit(txn: DataFrame, pair: DataFrame) -> DataFrame:
+    """Cells of the pair table that differ from the recomputation, over all rows."""
+    return keyed_diff(pair.select("txn_id", *S.PAIR_HISTORY), recomputed_pairs(txn), ["txn_id"])
+
+
+def counterparty_audit(txn: DataFrame, node_day: DataFrame) -> DataFrame:
+    """Counterparty cells of the node-day table that differ from a recomputation.
+
+    First meetings come straight from the transactions and meet the node's days in
+    a join with ``<`` on the date, after being counted per (node, day).
+    """
+    pairs = txn.where("src <> dst").groupBy("src", "dst").agg(F.min("txn_date").alias("first"))
+    met = stack([
+        pairs.select(F.col("src").alias("node_id"), "first", F.lit(1).alias("o"), F.lit(0).alias("i")),
+        pairs.select(F.col("dst").alias("node_id"), "first", F.lit(0).alias("o"), F.lit(1).alias("i")),
+    ]).groupBy("node_id", "first").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    keys = ["node_id", "feature_date"]
+    known = node_day.select(*keys).join(met, "node_id").where("first < feature_date").groupBy(*keys).agg(
+        F.sum("o").alias("o"), F.sum("i").alias("i")
+    )
+    zero = F.lit(0).cast("long")
+    expected = node_day.select(*keys).join(known, keys, "left").select(
+        *keys,
+        F.log1p(F.coalesce("o", zero)).alias("n_unique_out_log"),
+        F.log1p(F.coalesce("i", zero)).alias("n_unique_in_log"),
+        (F.coalesce("o", zero) > 0).cast("int").alias("has_sent_before"),
+        (F.coalesce("i", zero) > 0).cast("int").alias("has_received_before"),
+    )
+    return keyed_diff(node_day.select(*expected.columns), expected, keys)
+
+
+def require_none(checks: Mapping[str, DataFrame]) -> None:
+    """Raise when a check has violations; names the check and a few of its cells."""
+    for name, found in checks.items():
+        some = found.limit(5).collect()
+        if some:
+            raise RuntimeError(f"leakage check {name}: {[r.asDict() for r in some]}")
+
+
+def repeat_from(txn: DataFrame, date: dt.date) -> DataFrame:
+    """All rows, and those on or after ``date`` once more under negative ids.
+
+    Counts of the day itself double, so a feature that sees its own day moves.
+    """
+    again = txn.where(F.col("txn_date") >= F.lit(date)).withColumn("txn_id", -1 - F.col("txn_id"))
+    return txn.unionByName(again)
+
+
 def alter_from(txn: DataFrame, date: dt.date) -> DataFrame:
     """Change amounts, formats and directions of all rows on or after ``date``.
 
@@ -130,15 +207,19 @@ def alter_from(txn: DataFrame, date: dt.date) -> DataFrame:
 def future_perturbation(
     txn: DataFrame, date: dt.date, build: Callable[[DataFrame], DataFrame], keys: Sequence[str],
     date_column: str = "feature_date",
+    alter: Callable[[DataFrame, dt.date], DataFrame] = alter_from,
+    baseline: DataFrame | None = None,
 ) -> DataFrame:
     """Features up to ``date`` that move when rows on or after ``date`` are altered.
 
-    ``build`` must not fit statistics on its input; hold them fixed.
+    ``build`` must not fit statistics on its input; hold them fixed. ``baseline`` is
+    the table that ``build`` made of the real rows, if it is stored already.
     """
     def upto(df: DataFrame) -> DataFrame:
-        return build(df).where(F.col(date_column) <= F.lit(date))
+        return df.where(F.col(date_column) <= F.lit(date))
 
-    return keyed_diff(upto(txn), upto(alter_from(txn, date)), keys)
+    real = build(txn) if baseline is None else baseline
+    return keyed_diff(upto(real), upto(build(alter(txn, date))), keys)
 
 
 def label_invariance(
@@ -149,8 +230,12 @@ def label_invariance(
     return keyed_diff(build(txn), build(flipped), keys)
 
 
-def train_only_statistics(txn: DataFrame, bounds: Bounds) -> DataFrame:
-    """Fitted statistics that move when all rows outside train are altered."""
+def train_only_statistics(txn: DataFrame, bounds: Bounds, fitted: Bounds | None = None) -> DataFrame:
+    """Fitted statistics that move when all rows outside train are altered.
+
+    ``fitted`` are the bounds that the fit uses, if they are not those of the run.
+    """
+    fitted = fitted or bounds
     outside = ~in_period(bounds, "train")
     altered = txn.withColumns({
         "amount_paid": F.when(outside, F.col("amount_paid") * 7 + 3).otherwise(F.col("amount_paid")),
@@ -158,10 +243,10 @@ def train_only_statistics(txn: DataFrame, bounds: Bounds) -> DataFrame:
         .otherwise(F.col("is_laundering")),
     })
     amounts = keyed_diff(
-        fit_amount_stats(txn, bounds), fit_amount_stats(altered, bounds), ["payment_currency"]
+        fit_amount_stats(txn, fitted), fit_amount_stats(altered, fitted), ["payment_currency"]
     )
 
     def weight(df: DataFrame) -> DataFrame:
-        return scale_pos_weight(df, bounds).withColumn("name", F.lit("scale_pos_weight"))
+        return scale_pos_weight(df, fitted).withColumn("name", F.lit("scale_pos_weight"))
 
     return stack([amounts, keyed_diff(weight(txn), weight(altered), ["name"])])

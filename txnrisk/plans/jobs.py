@@ -19,7 +19,7 @@ from txnrisk.config import Config
 from txnrisk.functions.days import first_and_last_date
 from txnrisk.functions.scale import stack
 from txnrisk.operators import (
-    account, assemble, bootstrap, components, explain, graph, metrics, model, quality, report, split,
+    account, assemble, bootstrap, components, explain, graph, leakage, metrics, model, quality, report, split,
     txn_features,
 )
 from txnrisk.session import checkpoint
@@ -40,6 +40,8 @@ def run_data(spark: SparkSession, txn: DataFrame, out: str, config: Config = Con
     tables.write_clean(clean.select(*S.CLEAN.fieldNames()), f"{out}/transactions_clean")
     stored = tables.read_table(spark, f"{out}/transactions_clean", S.CLEAN)
     split.fit_amount_stats(stored, bounds).write.mode("overwrite").parquet(f"{out}/amount_stats")
+    if config.leakage_checks:
+        leakage.require_none({"train_only_statistics": leakage.train_only_statistics(stored, bounds)})
     tables.export_results({
         "schema_report": quality.validate_schema(txn),
         "profile": quality.profile(stored, S.SOURCE_COLUMNS),
@@ -57,15 +59,18 @@ def _with_txn_features(spark: SparkSession, out: str) -> DataFrame:
     return txn_features.txn_features(clean, spark.read.parquet(f"{out}/amount_stats"))
 
 
-def run_features(spark: SparkSession, out: str) -> None:
-    """Account history per (node, day)."""
+def run_features(spark: SparkSession, out: str, config: Config = Config()) -> None:
+    """Account history per (node, day); a leak ends the job."""
     txn = _with_txn_features(spark, out)
-    first, _ = first_and_last_date(txn)
+    first, last = first_and_last_date(txn)
     account.account_history(txn, first).write.mode("overwrite").parquet(f"{out}/account_history")
+    if config.leakage_checks:
+        history = spark.read.parquet(f"{out}/account_history")
+        leakage.require_none({"strict_date_audit": leakage.strict_date_audit(txn, history, first, last)})
 
 
 def run_graph(spark: SparkSession, out: str, config: Config = Config()) -> None:
-    """Edges, node-day and pair tables."""
+    """Edges, node-day and pair tables; a leak ends the job."""
     clean = tables.read_table(spark, f"{out}/transactions_clean", S.CLEAN)
     _, last = first_and_last_date(clean)
     graph.build_edges(clean).write.mode("overwrite").parquet(f"{out}/edges")
@@ -76,6 +81,21 @@ def run_graph(spark: SparkSession, out: str, config: Config = Config()) -> None:
     )
     tables.write_pair_txn(graph.pair_history(clean, edges), f"{out}/graph_pair_txn")
     pair = tables.read_table(spark, f"{out}/graph_pair_txn", S.GRAPH_PAIR_TXN)
+    if config.leakage_checks:
+        node_day = tables.read_table(spark, f"{out}/graph_node_day", S.GRAPH_NODE_DAY)
+        dates = clean.select("txn_id", "txn_date")
+
+        def dated_pairs(txn: DataFrame) -> DataFrame:
+            return graph.pair_history(txn, checkpoint(graph.build_edges(txn))).join(dates, "txn_id")
+
+        leakage.require_none({
+            "pair_audit": leakage.pair_audit(clean, pair),
+            "counterparty_audit": leakage.counterparty_audit(clean, node_day),
+            "future_perturbation": leakage.future_perturbation(
+                clean, split.find_bounds(clean, config).test, dated_pairs, ["txn_id"], "txn_date",
+                leakage.repeat_from, pair.join(dates, "txn_id"),
+            ),
+        })
     tables.export_results({
         "network_stats": report.network_stats(edges, last, components.component_summary(edges, last, forest)),
         "degree_distribution": report.degree_distribution(edges),
