@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from micro import account_ids, day, prepared, transactions
-from txnrisk.operators import components, graph, pagerank
+from txnrisk.operators import components, graph, pagerank, quality
 from txnrisk.session import checkpoint
 
 
@@ -256,3 +256,15 @@ def test_pagerank_is_the_same_in_blocks_of_dates(spark, hot):
         expected = brute_pagerank([e for e, t in edges.items() if t < n]) if n > 1 else {}
         for v in {v for e in edges for v in e}:
             assert ranks[v, day(n)] == pytest.approx(expected.get(v, 0.0), abs=1e-12)
+
+
+def test_endpoints_with_nulls_are_no_nodes(spark):
+    txn = spark.createDataFrame(
+        [(1, 1, 10, 1, 20), (2, None, 10, 1, 20), (3, 1, 10, 1, None)],
+        "txn_id long, from_bank long, from_account long, to_bank long, to_account long")
+    nodes = graph.build_node_map(txn)
+    assert sorted(r[:3] for r in nodes.collect()) == [(0, 1, 10), (1, 1, 20)]
+    ends = {r.txn_id: (r.src, r.dst) for r in graph.encode_nodes(txn, nodes).collect()}
+    assert ends == {1: (0, 1), 2: (None, 1), 3: (0, None)}
+    found = quality.id_consistency(txn, nodes).where("check_name = 'endpoint_not_in_node_map'")
+    assert found.count() == 2

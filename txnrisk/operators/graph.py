@@ -13,13 +13,16 @@ from txnrisk.session import checkpoint
 
 
 def _endpoints(txn: DataFrame) -> DataFrame:
-    """Distinct (bank, account) over both roles with their number of rows per role."""
+    """Distinct (bank, account) over both roles with their number of rows per role.
+
+    An endpoint without bank or account is no node.
+    """
     ends = txn.select(F.explode(F.array(
         F.struct(F.col("from_bank").alias("bank"), F.col("from_account").alias("account"),
                  F.lit(1).alias("out"), F.lit(0).alias("in")),
         F.struct(F.col("to_bank").alias("bank"), F.col("to_account").alias("account"),
                  F.lit(0).alias("out"), F.lit(1).alias("in")),
-    )).alias("e")).select("e.*")
+    )).alias("e")).select("e.*").where("bank IS NOT NULL AND account IS NOT NULL")
     return ends.groupBy("bank", "account").agg(
         F.sum("out").alias("n_out"), F.sum("in").alias("n_in")
     )
@@ -36,7 +39,10 @@ def build_node_map(txn: DataFrame) -> DataFrame:
 
 
 def encode_nodes(txn: DataFrame, node_map: DataFrame) -> DataFrame:
-    """Add ``src`` and ``dst``. ``node_map`` comes from a checkpoint or a table."""
+    """Add ``src`` and ``dst``, null for an endpoint that is no node.
+
+    ``node_map`` comes from a checkpoint or a table. ``id_consistency`` lists such rows.
+    """
     for role, end, weight in (("from", "src", "n_out"), ("to", "dst", "n_in")):
         keys = [f"{role}_bank", f"{role}_account"]
         side = node_map.select(
