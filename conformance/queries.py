@@ -354,13 +354,14 @@ def _grid_scores(s) -> DataFrame:
     return s.scored.where("period = 'test'").select("txn_id", "is_laundering", F.inline(F.array(*parts)))
 
 
-_GRID_SQL = f"""(SELECT model, variant, seed, pr_auc FROM {average_precision('''(SELECT is_laundering, model, variant, seed, round(
+_GRID_ROWS = """(SELECT txn_id, is_laundering, model, variant, seed, round(
   0.3::DOUBLE * ln(1 + amount_paid)
   + CASE WHEN variant = 'full' THEN 0.8::DOUBLE * (payment_format = 'ACH')::INTEGER + 0.2::DOUBLE * t_is_fx ELSE 0::DOUBLE END
   + CASE WHEN model = 'M2' THEN (1 - g_pair_seen_before)::DOUBLE ELSE 0::DOUBLE END
   + 0.5::DOUBLE * (('0x' || substr(md5(seed || '|' || txn_id), 1, 8))::BIGINT)::DOUBLE / 4294967296::DOUBLE, 6) AS score
  FROM scored, (VALUES ('M1'), ('M2')) m(model), (VALUES ('full'), ('no_shortcut')) v(variant), (VALUES (42), (43), (44)) s(seed)
- WHERE period = 'test')''', 'score', 'model, variant, seed')})"""
+ WHERE period = 'test')"""
+_GRID_SQL = f"(SELECT model, variant, seed, pr_auc FROM {average_precision(_GRID_ROWS, 'score', 'model, variant, seed')})"
 
 
 def _grid_results(s) -> DataFrame:
@@ -595,6 +596,44 @@ def _bootstrap_sql(where: str) -> str:
  FROM {average_precision(drawn, 'm1_score', 'b', 'w')} x JOIN {average_precision(drawn, 'm2_score', 'b', 'w')} y USING (b)) WHERE delta IS NOT NULL""")
 
 
+GAIN_REPLICATES = 50
+
+
+def _gains_sql() -> str:
+    cases = " + ".join(f"(u >= {b}::DOUBLE)::INTEGER" for b in bootstrap.POISSON_BOUNDS)
+    drawn = f"""(SELECT * FROM (SELECT b, is_laundering, model, variant, seed, score, {cases} AS w FROM (
+ SELECT t.*, b, (('0x' || substr(md5('42|' || b || '|' || txn_id), 1, 8))::BIGINT)::DOUBLE / 4294967296::DOUBLE AS u
+ FROM {_GRID_ROWS} t, range({GAIN_REPLICATES}) g(b))) WHERE w > 0)"""
+    each = "max(pr_auc) FILTER (model = 'M1') AS m1, max(pr_auc) FILTER (model = 'M2') AS m2"
+    return f"""(SELECT variant, seed, n_rows, n_positive, m1, m2, m2 - m1 AS delta, coalesce(n_replicates, 0) AS n_replicates, ci_low, ci_high
+FROM (SELECT variant, seed, max(n_rows) AS n_rows, max(n_positive) AS n_positive, {each}
+ FROM {average_precision(_GRID_ROWS, 'score', 'model, variant, seed')} GROUP BY variant, seed) p
+LEFT JOIN (SELECT variant, seed, count(*) AS n_replicates, quantile_cont(m2 - m1, 0.025) AS ci_low, quantile_cont(m2 - m1, 0.975) AS ci_high
+ FROM (SELECT variant, seed, b, {each} FROM {average_precision(drawn, 'score', 'b, model, variant, seed', 'w')} GROUP BY variant, seed, b)
+ WHERE m2 - m1 IS NOT NULL GROUP BY variant, seed) i USING (variant, seed))"""
+
+
+def _gains(s) -> DataFrame:
+    return report.gains(_grid_scores(s), GAIN_REPLICATES)
+
+
+@query(sql("SELECT variant, seed, n_rows, n_positive, n_replicates, " + r("m1", "pr_auc_m1") + ", " + r("m2", "pr_auc_m2") + ", "
+           + sql_rounded("delta", "ci_low", "ci_high") + f" FROM {_gains_sql()}", "scored"))
+def gains(s):
+    return _gains(s).select(
+        "variant", "seed", *long("n_rows", "n_positive"), F.coalesce("n_replicates", F.lit(0).cast("long")).alias("n_replicates"),
+        *rounded("pr_auc_m1", "pr_auc_m2", "delta", "ci_low", "ci_high"),
+    )
+
+
+@query(sql("SELECT variant, count(*) AS n_seeds, " + r("avg(delta)", "mean") + ", " + r("min(delta)", "lowest") + ", " + r("max(delta)", "highest")
+           + f", count(*) FILTER (ci_low > 0) AS n_above_zero FROM {_gains_sql()} GROUP BY variant", "scored"))
+def gain_summary(s):
+    return report.gain_summary(_gains(s)).select(
+        "variant", "n_seeds", *rounded("mean", "lowest", "highest"), "n_above_zero"
+    )
+
+
 def _interval(df: DataFrame) -> DataFrame:
     return bootstrap.paired_bootstrap(df, "m1_score", "m2_score", REPLICATES)
 

@@ -32,6 +32,11 @@ def test_all_stages(spark, tmp_path):
     assert read("schema_report").count() == 0
     assert read("inspector").count() == spark.read.parquet(f"{out}/feature_matrix").where("period = 'test'").count()
     assert read("grid_results").count() == 4
+    assert sorted((r.variant, r.seed) for r in read("gains").collect()) == [("full", 42), ("no_shortcut", 42)]
+    assert {r.variant: r.n_seeds for r in read("gain_summary").collect()} == {"full": 1, "no_shortcut": 1}
+    per_model = read("grid_confusion").groupBy("model", "variant", "seed").sum("n").collect()
+    assert [r["sum(n)"] for r in per_model] == [read("inspector").count()] * 4
+    assert read("grid_pr_curves").select("model", "variant", "seed").distinct().count() == 4
     assert len(list((tmp_path / "models").iterdir())) == 4
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +35,28 @@ def bootstrap_replicates(
     df: DataFrame, score_1: str, score_2: str, replicates: int = 200, seed: int = 42,
     label: str = "is_laundering",
 ) -> DataFrame:
-    """Both average precisions and their difference per replicate.
+    """Both average precisions and their difference per replicate."""
+    long = unpivot_scores(df, {"m1": score_1, "m2": score_2}, ["txn_id", label])
+    return long_replicates(long, replicates, seed, label)
+
+
+def long_replicates(
+    long: DataFrame, replicates: int = 200, seed: int = 42, label: str = "is_laundering", by: Sequence[str] = (),
+) -> DataFrame:
+    """The same per ``by`` and replicate, from rows of ``by``, txn_id, label, model (m1 or m2) and score.
 
-    Rows are first placed by (model, score, id), so that a task sees few distinct
+    A transaction has the same weight in all groups of a replicate. Rows are first placed by (model, score, id), so that a task sees few distinct
     scores and its partial sums per (replicate, model, score) stay small: the rows
     are shuffled once, not once per replicate, and a score shared by many rows is
     still spread by id. Weight-0 rows leave before the aggregation. Scores should
     be rounded (the models here give six digits), because the sums grow with the
     number of distinct scores.
     """
-    long = unpivot_scores(df, {"m1": score_1, "m2": score_2}, ["txn_id", label])
     # an explicit number keeps the small input of this stage from being merged into
     # a few tasks: the stage multiplies its rows by the number of replicates
-    spark = df.sparkSession
+    spark = long.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = long.repartitionByRange(tasks, "model", "score", "txn_id")
+    placed = long.repartitionByRange(tasks, *by, "model", "score", "txn_id")
     drawn = (
         placed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         # as a generator, the draw is computed once and not again inside the filter
@@ -55,9 +64,8 @@ def bootstrap_replicates(
         .where(F.col("draw") >= POISSON_BOUNDS[0])
         .withColumn("weight", poisson_weight(F.col("draw")))
     )
-    by = ["replicate", "model"]
-    aucs = pr_auc(drawn, "score", label, by, "weight")
-    return aucs.groupBy("replicate").agg(
+    aucs = pr_auc(drawn, "score", label, [*by, "replicate", "model"], "weight")
+    return aucs.groupBy(*by, "replicate").agg(
         F.max(F.when(F.col("model") == "m1", F.col("pr_auc"))).alias("pr_auc_m1"),
         F.max(F.when(F.col("model") == "m2", F.col("pr_auc"))).alias("pr_auc_m2"),
     ).withColumn("delta", F.col("pr_auc_m2") - F.col("pr_auc_m1"))
@@ -67,14 +75,14 @@ def paired_bootstrap(
     df: DataFrame, score_1: str, score_2: str, replicates: int = 200, seed: int = 42,
     label: str = "is_laundering", confidence: float = 0.95,
 ) -> DataFrame:
-    """Percentile interval of the difference; replicates without positives drop out.
+    """Percentile interval of the difference; replicates without positives drop out."""
+    return delta_interval(bootstrap_replicates(df, score_1, score_2, replicates, seed, label), confidence)
 
-    The last aggregation has one row per replicate.
-    """
+
+def delta_interval(drawn: DataFrame, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """Percentile interval of the replicates per ``by``; a group has one row per replicate."""
     tail = (1 - confidence) / 2
-    return bootstrap_replicates(df, score_1, score_2, replicates, seed, label).where(
-        "delta IS NOT NULL"
-    ).agg(
+    return drawn.where("delta IS NOT NULL").groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_replicates"),
         F.avg("delta").alias("mean_delta"),
         F.percentile("delta", F.lit(tail)).alias("ci_low"),

@@ -132,14 +132,14 @@ def threshold_metrics(
     )
 
 
-def confusion(predicted: DataFrame, label: str = "is_laundering") -> DataFrame:
-    """Counts on the full grid of predicted and actual, zero cells included."""
-    counts = threshold_metrics(predicted, label)
+def confusion(predicted: DataFrame, label: str = "is_laundering", by: Sequence[str] = ()) -> DataFrame:
+    """Counts per ``by`` on the full grid of predicted and actual, zero cells included."""
+    counts = threshold_metrics(predicted, label, by)
     cells = F.array(*[
         F.struct(F.lit(p).alias("predicted"), F.lit(y).alias("actual"), F.col(c).alias("n"))
         for p, y, c in ((1, 1, "tp"), (1, 0, "fp"), (0, 1, "fn"), (0, 0, "tn"))
     ])
-    return counts.select(F.inline(cells))
+    return counts.select(*by, F.inline(cells))
 
 
 def recall_at_budget(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from txnrisk import schema as S
 from txnrisk.functions.days import day_number
 from txnrisk.functions.scale import counted_keys, running_sums, salted_join, stack
+from txnrisk.operators import bootstrap
 from txnrisk.operators.components import component_summary
 from txnrisk.operators.metrics import pr_auc, roc_auc
 from txnrisk.session import checkpoint
@@ -203,6 +204,34 @@ def suspicious_subgraph(edges: DataFrame, flagged: DataFrame, hops: int = 1) ->
     )
 
 
+def gains(
+    scores: DataFrame, replicates: int = 200, seed: int = 42, confidence: float = 0.95, label: str = "is_laundering",
+) -> DataFrame:
+    """M2 against M1 per variant and seed: average precisions, difference and paired bootstrap interval.
+
+    ``scores`` has a row per transaction, model, variant and seed, as ``run_grid`` gives
+    them for one period. A group without positives keeps its row, with nulls.
+    """
+    by = ["variant", "seed"]
+    long = scores.select("txn_id", label, *by, F.lower("model").alias("model"), "score")
+    point = pr_auc(long, "score", label, [*by, "model"]).groupBy(*by).agg(
+        F.max("n_rows").alias("n_rows"), F.max("n_positive").alias("n_positive"),
+        *[F.max(F.when(F.col("model") == m, F.col("pr_auc"))).alias(f"pr_auc_{m}") for m in ("m1", "m2")],
+    ).withColumn("delta", F.col("pr_auc_m2") - F.col("pr_auc_m1"))
+    drawn = bootstrap.long_replicates(long, replicates, seed, label, by)
+    return point.join(bootstrap.delta_interval(drawn, confidence, by), by, "left")  # a row per variant and seed
+
+
+def gain_summary(found: DataFrame) -> DataFrame:
+    """``gains`` over all seeds of a variant: mean and range, and how many intervals lie above zero."""
+    return found.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n_seeds"), F.avg("delta").alias("mean"),
+        F.min("delta").alias("lowest"), F.max("delta").alias("highest"),
+        F.min("ci_low").alias("lowest_ci_low"), F.max("ci_high").alias("highest_ci_high"),
+        F.count(F.when(F.col("ci_low") > 0, 1)).alias("n_above_zero"),
+    )
+
+
 def overview(summary: DataFrame, delta: DataFrame, interval: DataFrame) -> DataFrame:
     """Dataset summary, headline difference and interval as (item, value) rows."""
     def rows(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -135,6 +135,14 @@ def run_experiments(spark: SparkSession, out: str, config: Config = Config()) ->
         model.save_model(one, f"{out}/models/{name}-{variant}-{seed}")
     results = checkpoint(model.grid_results(scores, config))
 
+    # every configuration and seed, at its own threshold from validation
+    by = ["model", "variant", "seed"]
+    grid_test = scores.where("period = 'test'")
+    frozen = checkpoint(metrics.pick_threshold(scores.where("period = 'validation'"), "score", by=by))
+    grid_confusion = metrics.confusion(metrics.apply_threshold(grid_test, "score", frozen, by), by=by)
+    gains = checkpoint(report.gains(
+        grid_test, config.bootstrap_replicates, config.bootstrap_seed, config.confidence))
+
     seed = config.seeds[0]
     m1, m2 = fitted["M1", "full", seed], fitted["M2", "full", seed]
     scored = checkpoint(model.score(m2, model.score(m1, matrix, "m1_score"), "m2_score"))
@@ -169,6 +177,10 @@ def run_experiments(spark: SparkSession, out: str, config: Config = Config()) ->
         "grid_results": results,
         "seed_summary": model.seed_summary(results),
         "variant_comparison": report.variant_comparison(results),
+        "gains": gains,
+        "gain_summary": report.gain_summary(gains),
+        "grid_pr_curves": metrics.pr_curve(grid_test, "score", by=by),
+        "grid_confusion": grid_confusion,
         "pr_curves": metrics.pr_curve(long, "score", by=["model"]),
         "confusion": stack(confusions),
         "delta": delta,
