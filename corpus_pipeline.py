@@ -43,7 +43,11 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies (five-word Jaccard of 0.8 or more)."""
+    """The document of the smallest id of each group of near copies.
+
+    Candidates come from the SimHash components of operator 7 and from keys of minima, which
+    reach further; a link counts if its five-word Jaccard similarity is 0.8 or more.
+    """
     return near_text.survivors(docs.select(*COLUMNS))
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from txnrisk.llm import near_text
+from txnrisk.llm import near_text, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,6 +74,20 @@ def test_repeated_and_null_ids(spark, no_docs):
     assert near_text.survivors(no_docs).count() == 0
 
 
+def test_operator_7_alone_brings_near_copies_together(spark, monkeypatch):
+    words = [f"w{random.Random(5).random()}-{k}" for k in range(900)]
+    loop = "a b c d e f g " * 300
+    texts = {3: " ".join(words), 4: " ".join([*words[:-1], "other"]), 5: "quite another text", 6: loop + "one two three four five six",
+             7: loop + "un deux trois quatre cinq six sept", 8: None}
+    fp = dict(zip(texts, simhash.simhashes([t or "" for t in texts.values()], 5).tolist()))
+    assert (fp[3] ^ fp[4]).bit_count() <= 4 and (fp[6] ^ fp[7]).bit_count() <= 4
+    monkeypatch.setattr(near_text, "band_keys", lambda own: own[:0].view(np.int64))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    # 6 and 7 have a fingerprint alike and sets that are not
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {3, 5, 6, 7, 8}
+
+
 def test_forest_is_exact_at_the_limit():
     a = np.arange(9, dtype=np.uint64)
     links = near_text.forest([a[:8], np.append(a[:8], [20, 21]).astype(np.uint64), np.append(a[:8], [30, 31, 32]).astype(np.uint64)], 0.8)

@@ -1,7 +1,10 @@
 """Near copies of texts by the exact Jaccard similarity of their sets of word shingles.
 
-Texts with equal sets are one node. Every distinct set gets ``BANDS`` keys, each from
-``ROWS`` minima of its hashed shingles; two sets of similarity s share a key with
+Texts with equal sets are one node. Operator 7 gives the candidates: every text has its
+SimHash of the same shingles, and a component of its links is a key of the nodes in it.
+Its keys are proven for 4 differing bits, while two sets of similarity 0.8 differ in
+about 10 of 64, so every distinct set gets ``BANDS`` keys more, each from
+``ROWS`` minima of its hashed shingles; two sets of similarity s share one of these with
 probability 1 - (1 - s^ROWS)^BANDS, which is 0.99993 at 0.8. Nodes that share a key are
 compared by their whole sets, so no link is below the least similarity. Keys with the
 same nodes are compared once. A key's group gives a spanning forest of its links, never
@@ -19,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm import chunks
+from txnrisk.functions.scale import salted_join
+from txnrisk.llm import chunks, simhash
 from txnrisk.llm.components import components
 from txnrisk.session import checkpoint
 
@@ -99,20 +103,31 @@ def forest(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, node (hash of the set), n (its size) and keys of every row."""
+    """doc_id, digest of the text, node (hash of the set), n (its size), keys and fp (SimHash) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, part in chunks.slices(batch.column("text")):
                 rows = batch.slice(begin, len(part))
-                sets = [shingles(t) for t in part.to_pylist()]
+                texts = part.to_pylist()
+                sets = [shingles(t) for t in texts]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("digest"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([band_keys(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "node", "n", "keys"])
+                     pa.array([band_keys(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                     pa.array(simhash.simhashes(texts, WIDTH).view(np.int64))],
+                    ["doc_id", "digest", "node", "n", "keys", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, digest long, node long, n long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest long, node long, n long, keys array<long>, fp long")
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """key and node of the nodes of every SimHash component (operator 7); ``rows`` has node and fp."""
+    marked = checkpoint(rows.select("node", "fp").distinct())
+    # ids of operator 7 are below 1 << 62; nodes that share an id are compared like others of one key
+    found = simhash.groups(marked.select(F.shiftright("node", 2).alias("doc_id"), "fp"))
+    joined = salted_join(marked, found, ["fp"], "node", "_n")
+    return joined.select(F.xxhash64(F.lit("simhash"), "component_id").alias("key"), "node").distinct()
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -158,9 +173,9 @@ def survivors(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of every group of near copies: the one of the smallest (doc_id, digest of the text).
 
     Groups are connected by pairs of texts whose sets of five-word shingles have a
-    Jaccard similarity of ``least`` or more. Texts without words are one group. A row
-    with a null doc_id takes part and comes after all others. Of rows with equal
-    doc_id and text one stays.
+    Jaccard similarity of ``least`` or more; operator 7 and keys of minima bring the pairs
+    together. Texts without words are one group. A row with a null doc_id takes part and
+    comes after all others. Of rows with equal doc_id and text one stays.
     """
     marked = docs.withColumn("digest", F.xxhash64("text"))
     plain = marked.select("doc_id", "digest", F.coalesce("text", F.lit("")).alias("text"))
@@ -168,7 +183,9 @@ def survivors(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     nodes = checkpoint(rows.groupBy("node").agg(
         F.min(order).alias("first"), F.max("n").alias("n"), F.first("keys").alias("keys")))
-    members = checkpoint(nodes.select(F.explode("keys").alias("key"), "node", "n"))
+    minima = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    alike = _alike(rows).join(nodes.where("n > 0").select("node", "n"), "node")
+    members = checkpoint(minima.unionByName(alike))
     reps = nodes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"), "node")
     match = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "digest")]
     crowded = members.join(

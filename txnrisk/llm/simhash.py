@@ -224,25 +224,32 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, limit: int | None = None)
     return near.unionByName(_compare(pairs, ["key", "t", "u"], max_bits, 1 << 40).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+def groups(marked: DataFrame) -> DataFrame:
+    """fp, component_id (as in ``near_duplicates``) and _n (rows) of every distinct fingerprint.
 
-    ``component_id`` is the smallest doc_id reachable over links, the document's own
-    included. Texts without words (null, empty) have fingerprint zero and link like
-    any other. Rows with a null doc_id take part; a component of such rows alone has
-    a null id. Repeated rows come back as often. An empty table gives an empty result.
+    ``marked`` is a checkpoint of rows (doc_id, fp).
     """
-    marked = checkpoint(fingerprints(docs, width))
-    groups = checkpoint(
+    distinct = checkpoint(
         marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"))
     )
     # a group without any id gets a number above all ids, taken from its fingerprint
     stand_in = F.coalesce("node", F.lit(NO_ID) + F.shiftrightunsigned("fp", 2))
-    numbered = groups.withColumn("_node", stand_in)
+    numbered = distinct.withColumn("_node", stand_in)
     found = components(links(numbered.select("fp", F.col("_node").alias("node"))))
     root = F.coalesce("root", "_node")
-    labels = numbered.join(found.withColumnRenamed("node", "_node"), "_node", "left").select(
+    return numbered.join(found.withColumnRenamed("node", "_node"), "_node", "left").select(
         "fp", F.when(root < NO_ID, root).alias("component_id"), "_n"
     )
-    joined = salted_join(marked, labels, ["fp"], "doc_id", "_n")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+
+    ``component_id`` is the smallest doc_id reachable over links, the document's own
+    included. Texts without words (null, empty) have fingerprint zero and link like
+    any other. Rows with a null doc_id take part; a component of such rows alone has
+    a null id. Repeated rows come back as often. An empty table gives an empty result.
+    """
+    marked = checkpoint(fingerprints(docs, width))
+    joined = salted_join(marked, groups(marked), ["fp"], "doc_id", "_n")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
