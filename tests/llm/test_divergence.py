@@ -115,3 +115,33 @@ def test_shares_are_exact_for_large_counts():
     counts = np.array([0, 7, 10**13, 8 * 10**15], np.int64)
     assert divergence.shares(counts, 8 * 10**15 + 17, 10**6).tolist() == [
         1 + 10**9 * (c + 5) // (8 * 10**15 + 17 + 5 * 10**6) for c in counts.tolist()]
+
+
+def test_first_pass_holds_little_and_gives_it_back(spark, monkeypatch):
+    """What a worker keeps after a task adds to the next stage; with many distinct words it kept hundreds of MB."""
+
+    class Caught:
+        def __getattr__(self, name):
+            return lambda *args: self if name != "mapInArrow" else caught.append(args[0]) or self
+
+    class Pool:
+        def release_unused(self):
+            given_back.append(1)
+
+    def split(texts, table):
+        sizes.append(pa.compute.sum(pa.compute.binary_length(texts)).as_py())
+        return plain_split(texts, table)
+
+    rng, caught, given_back, sizes, plain_split = random.Random(1), [], [], [], words.split
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(50_000)) for _ in range(18)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["en", "de", None] * 6), pa.array(["s"] * 18), pa.array(texts)], ["lang", "source", "text"])
+    divergence.document_frequencies(Caught())
+    monkeypatch.setattr(words, "split", split)
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    got = Counter()
+    for out in caught[0](iter([batch])):
+        for lang, term, n in zip(*(out.column(c).to_pylist() for c in ("lang", "term", "n"))):
+            got[lang, term] += n
+    assert got == Counter((lang, w) for lang, text in zip(["en", "de", ""] * 6, texts) for w in set(text.split()))
+    assert max(sizes) < 2 << 20 and given_back

@@ -39,6 +39,8 @@ SHARD_TERMS, TILE = 1 << 11, 64
 BROADCAST_BYTES = 64 << 20
 #: Bytes of count arrays, and distinct terms, that a task holds before it passes them on.
 HELD_BYTES, HELD_TERMS = 64 << 20, 1 << 20
+#: Bytes of text that are split into words at once: a slice takes some twenty times its bytes.
+SLICE_BYTES = 1 << 20
 #: Tasks whose arrays are summed together first.
 FAN_IN = 64
 #: Bits of a level of a perfect hash per key left, and levels at most.
@@ -154,13 +156,26 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term and n_docs: rows of the language whose text has the term. Null lang and text are ''."""
 
     def held(parts: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(parts).group_by(["lang", "term"]).aggregate([("n", "sum")]).rename_columns(["lang", "term", "n"])
+        return pa.concat_tables(parts).group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
+
+    def passed_on(by_lang: dict[str, list[pa.Table]], least: int = 0) -> Iterator[pa.RecordBatch]:
+        """The terms of each language once; those of languages with up to ``least`` stay. Freed memory goes back."""
+        for lang in list(by_lang):
+            merged = held(by_lang.pop(lang))
+            if len(merged) <= least:
+                by_lang[lang] = [merged]
+                continue
+            for batch in merged.to_batches(1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(batch), pa.string()), batch.column("term"), batch.column("n")], ["lang", "term", "n"])
+        pa.default_memory_pool().release_unused()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.Table] = []
+        by_lang: dict[str, list[pa.Table]] = {}
+        n_held = 0
         for batch in batches:
             of_row, lang_of, _, names = _groups(batch)
-            for begin, part in chunks.slices(batch.column("text")):
+            for begin, part in chunks.slices(batch.column("text"), SLICE_BYTES):
                 distinct, code, counts = words.split(part, words.LETTERS)
                 if not len(code):
                     continue
@@ -168,17 +183,14 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
                 once = np.unique(np.repeat(np.arange(len(part)), counts) * k + code)
                 lang = lang_of[of_row[begin : begin + len(part)]]
                 key, n = np.unique(lang[once // k] * k + once % k, return_counts=True)
-                parts.append(pa.table({
-                    "lang": pa.array(names, pa.string()).take(pa.array(key // k)),
-                    "term": distinct.take(pa.array(key % k)), "n": pa.array(n),
-                }))
-                if sum(len(p) for p in parts) > HELD_TERMS:
-                    parts = [held(parts)]
-                    if len(parts[0]) > HELD_TERMS // 2:
-                        yield from parts[0].to_batches()
-                        parts = []
-        if parts:
-            yield from held(parts).to_batches()
+                for own in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key // k)) + 1):
+                    by_lang.setdefault(names[key[own[0]] // k], []).append(
+                        pa.table({"term": distinct.take(pa.array(key[own] % k)), "n": pa.array(n[own])}))
+                n_held += len(key)
+                if n_held > HELD_TERMS:
+                    yield from passed_on(by_lang, HELD_TERMS // 2 // max(1, len(by_lang)))
+                    n_held = sum(len(t) for (t,) in by_lang.values())
+        yield from passed_on(by_lang)
 
     rows = docs.select("lang", "source", "text").mapInArrow(count, "lang string, term string, n long")
     return rows.groupBy("lang", "term").agg(F.sum("n").alias("n_docs"))
@@ -250,11 +262,12 @@ def _recount(loaded: dict[str, list[Shard | None]]):
                 pa.array([task] * len(keys), pa.int32()), pa.array([packed(slots_of[k]) for k in keys], pa.binary()),
             ], ["lang", "source", "part", "task", "counts"])
             slots_of.clear()
+            pa.default_memory_pool().release_unused()
             return out
 
         for batch in batches:
             of_row, lang_of, groups, names = _groups(batch)
-            for begin, part in chunks.slices(batch.column("text")):
+            for begin, part in chunks.slices(batch.column("text"), SLICE_BYTES):
                 for group, shard_part, slot, n in _counted(part, of_row[begin : begin + len(part)], lang_of, names, loaded):
                     lang, source = groups[group]
                     key = (lang, source, shard_part)
@@ -348,7 +361,7 @@ def _joined_counts(rows: DataFrame, shard_rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of_row, _, groups, _ = _groups(batch)
-            for begin, part in chunks.slices(batch.column("text")):
+            for begin, part in chunks.slices(batch.column("text"), SLICE_BYTES):
                 distinct, code, counts = words.split(part, words.LETTERS)
                 if len(code):
                     k = len(distinct)
