@@ -3,11 +3,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from txnrisk import schema as S
 from txnrisk.config import Config, load_config
 from txnrisk.operators import explain, metrics, model
+from txnrisk.session import checkpoint
 
 SMALL = Config(tree_rounds=4, tree_depth=3, seeds=(42, 43))
 
@@ -104,6 +106,50 @@ def test_grid(matrix):
     assert model.seed_summary(results).count() == 4
 
 
+def test_grid_reads_the_matrix_twice_and_fits_on_few_partitions(spark, matrix, monkeypatch):
+    reads, layouts = spark.sparkContext.accumulator(0), []
+
+    @F.udf("double")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    fit = GBTClassifier._fit
+
+    def watched(self, dataset):
+        layouts.append(dataset.rdd.getNumPartitions())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(GBTClassifier, "_fit", watched)
+    spread = checkpoint(matrix.repartition(40, "txn_id"))
+    watched_rows = spread.withColumn("t_log_amount_paid", counted("t_log_amount_paid"))
+    one = Config(tree_rounds=2, tree_depth=2, seeds=(42,), parallel_fits=1)
+    scores, fits = model.run_grid(watched_rows, 20.0, one)
+    assert reads.value <= 2 * matrix.count()
+    assert len(layouts) == 4 and max(layouts) <= spark.sparkContext.defaultParallelism
+    # every later row, the tail included, with the score that its model gives alone
+    later = spread.where("period IN ('validation', 'test', 'tail')")
+    for (name, variant, seed), fitted_model in fits.items():
+        mine = scores.where((F.col("model") == name) & (F.col("variant") == variant) & (F.col("seed") == seed))
+        assert mine.count() == later.count()
+        assert model.parity(mine, model.score(fitted_model, later), 0.0).count() == 0
+    periods = lambda df: {r.period: r["count"] for r in df.groupBy("period").count().collect()}
+    assert periods(scores) == {p: 4 * n for p, n in periods(later).items()}
+
+
+def test_grid_fits_side_by_side_change_nothing(spark, matrix):
+    small = Config(tree_rounds=2, tree_depth=2, seeds=(42,))
+    keys = ["txn_id", "period", "is_laundering", "model", "variant", "seed", "score"]
+    together, _ = model.run_grid(matrix, 20.0, small)
+    spark.conf.set(model.FIT_ROWS_HELD_CONF, "1")
+    try:
+        alone, _ = model.run_grid(matrix, 20.0, small)
+    finally:
+        spark.conf.unset(model.FIT_ROWS_HELD_CONF)
+    assert alone.select(keys).exceptAll(together.select(keys)).isEmpty()
+    assert alone.count() == together.count() > 0
+
+
 def test_permutation_keeps_rows_and_values(matrix):
     mixed = explain.permuted_groups(matrix, {"P": S.PAIR_HISTORY}, 42)
     assert mixed.count() == matrix.count()
